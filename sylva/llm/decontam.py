@@ -38,9 +38,14 @@ def words(text: Column) -> Column:
 
 def shingled(rows: DataFrame, k: int) -> DataFrame:
     """Adds s, the hash of the k words from each position on; `words` is a column of its own, so that it is split once."""
-    rows = rows.withColumn("words", words(F.col("text")))
+    rows = once(rows, "words", words(F.col("text")))
     at = F.sequence(F.lit(0), F.size("words") - k)
-    return rows.withColumn("s", F.when(F.size("words") >= k, F.transform(at, lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(k)]))).otherwise(F.array().cast("array<long>"))).drop("words")
+    return once(rows, "s", F.when(F.size("words") >= k, F.transform(at, lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(k)]))).otherwise(F.array().cast("array<long>"))).drop("words")
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row: as a generator's output no filter or projection above repeats it."""
+    return rows.withColumn(name, F.explode(F.array(value)))
 
 
 def fingerprint(s: Column) -> Column:
@@ -94,14 +99,14 @@ def contaminated(docs: DataFrame, items: DataFrame, k: int = 5, least: float = 0
     fewest = lambda n, m: math.ceil(least * (n + m) / (1 + least) - 1e-9)
     rows = shingled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), k)
     known = lambda h: F.call_function("getbit", F.get(bitmap, shifted(F.pmod(h, F.lit(size)), F.lit(6)).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
-    rows = rows.withColumn("hits", F.filter(F.transform("s", lambda h, i: F.when(known(h), i)), lambda i: i.isNotNull())).where(F.size("hits") >= fewest(lengths[0], 1))
+    rows = once(rows, "hits", F.filter(F.transform("s", lambda h, i: F.when(known(h), i)), lambda i: i.isNotNull())).where(F.size("hits") >= fewest(lengths[0], 1))
     rows = rows.select("doc_id", "s", "hits").withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths])))
     # A window from hit i on holds enough hits if the hit that many further on lies inside it.
     inside = lambda start: F.least(F.col("n"), F.size("s") - start)
     need = lambda start: F.ceil((F.col("n") + inside(start)) * F.lit(least / (1 + least)) - 1e-9).cast("int")
     starts = F.filter(F.transform("hits", lambda p, i: F.when(F.get("hits", i + need(p) - 1) <= p + inside(p) - 1, p)), lambda p: p.isNotNull())
-    rows = rows.withColumn("start", F.explode(starts)).withColumn("window", F.expr("slice(s, start + 1, n)")).select("doc_id", "n", "start", "window")
-    rows = rows.withColumn("print", fingerprint(F.col("window")))
+    rows = once(rows.withColumn("start", F.explode(starts)), "window", F.expr("slice(s, start + 1, n)")).select("doc_id", "n", "start", "window")
+    rows = once(rows, "print", fingerprint(F.col("window")))
     index = bench.select("item_id", "item", "n", "item_print", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(F.col("item_print"), b).alias("v")) for b in range(BLOCKS)])).alias("x"))
     index = index.withColumn("v", F.explode(F.array(*[F.col("x.v").bitwiseXOR(F.lit(d)) for d in near_values()]))).select("item_id", "item", "n", "item_print", F.col("x.b").alias("b"), "v")
     probes = rows.withColumn("x", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), block(F.col("print"), b).alias("v")) for b in range(BLOCKS)]))).select("doc_id", "n", "start", "window", "print", F.col("x.b").alias("b"), F.col("x.v").alias("v"))

@@ -116,6 +116,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = SCAL
 
     def search(some: DataFrame, asked: DataFrame) -> DataFrame:
         keys = ["bucket", "cell", "block"]
+        asked = asked.select(*[F.col(c).alias(c) for c in asked.columns])
         return asked.groupBy(*keys).cogroup(some.groupBy(*keys)).applyInPandas(searched(k), shape)
 
     top = sizes.agg(F.max("bucket")).first()[0]
