@@ -6,7 +6,7 @@ of them are the maximal repeats. So a suffix's prefix is taken at full depth at
 words; suffixes are dealt by a second fingerprint of that prefix to groups that fit in memory, and each group sorts its
 suffixes, which brings the leaves of each deep node together. A task sends a prefix on once only, with its first
 place; later places in the task are repeats already. So a prefix that fills a third of the corpus reaches a group as
-one entry from each task. Suffix positions travel packed in binary blocks, about 11 bytes each.
+one entry from each task. Suffix positions travel packed in binary blocks, about 9 bytes each.
 
 Defined results: null and empty texts have no words; a null doc_id comes before all others; rows with the same doc_id
 and text are one document (each keeps the same words); rows with one doc_id and different texts are compared with each
@@ -65,11 +65,10 @@ def blocks(docs: DataFrame, window: int, groups: int) -> DataFrame:
         for g in range(groups):
             if cuts[g] < cuts[g + 1]:
                 take = order[cuts[g] : cuts[g + 1]]
+                take = take[np.argsort(at[take])]  # in order of place, so that the steps between places are small
                 here = at[take]
-                used, place = np.unique(np.searchsorted(bounds, here, "right") - 1, return_inverse=True)
-                offsets = (here - bounds[used[place]]).astype("<u4")
-                packed = np.stack([place.astype("<u4"), offsets])
-                rows.append((g, np.stack([docs_[used], texts[used]]).tobytes(), b"", keys[take].tobytes(), narrow(packed), None, None, None))
+                used = np.unique(np.searchsorted(bounds, here, "right") - 1)
+                rows.append((g, np.stack([docs_[used], texts[used]]).tobytes(), bounds[used].astype("<u4").tobytes(), keys[take].tobytes(), narrow(np.diff(here, prepend=0)), 0, 0, None))  # ids of 0, since pandas makes floats of nulls
         for k in range(0, len(rows), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 4096], strict=True), kinds, strict=True)], names)
 
@@ -91,24 +90,17 @@ def blocks(docs: DataFrame, window: int, groups: int) -> DataFrame:
     return docs.mapInArrow(run, BLOCK)
 
 
-def narrow(packed: np.ndarray) -> bytes:
-    """Two rows of numbers, each in as few bytes a number as its largest takes."""
-    out = []
-    for r in packed:
-        width = max(1, (int(r.max()).bit_length() + 7) // 8)
-        out.append(bytes([width]) + r.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes())
-    return len(packed[0]).to_bytes(4, "little") + b"".join(out)
+def narrow(numbers: np.ndarray) -> bytes:
+    """Byte planes, low bytes first, in as few planes as the largest number takes; planes of zeros compress away."""
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8)
+    return bytes([width]) + numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
 
 
-def widened(data: bytes) -> list[np.ndarray]:
-    n, at, out = int.from_bytes(data[:4], "little"), 4, []
-    for _ in range(2):
-        width = data[at]
-        wide = np.zeros((n, 4), np.uint8)
-        wide[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 1).reshape(width, n).T
-        out.append(wide.view("<u4").ravel().astype(np.int64))
-        at += 1 + n * width
-    return out
+def widened(data: bytes) -> np.ndarray:
+    width = data[0]
+    wide = np.zeros(((len(data) - 1) // width, 4), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
+    return wide.view("<u4").ravel().astype(np.int64)
 
 
 def late_rows(docs: np.ndarray, texts: np.ndarray, owner: np.ndarray, start: np.ndarray) -> Iterator[tuple]:
@@ -131,9 +123,11 @@ def repeats(docs: DataFrame, window: int) -> DataFrame:
             return known[names]
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
         docs_, texts, owner, start, base = [], [], [], [], 0
-        for d, p in zip(pdf["docs"], pdf["places"], strict=True):
-            d = np.frombuffer(d, np.int64).reshape(2, -1)
-            place, offset = widened(p)
+        for d, b, p in zip(pdf["docs"], pdf["bounds"], pdf["places"], strict=True):
+            d, b = np.frombuffer(d, np.int64).reshape(2, -1), np.frombuffer(b, "<u4").astype(np.int64)
+            here = np.cumsum(widened(p))
+            place = np.searchsorted(b, here, "right") - 1
+            offset = here - b[place]
             docs_.append(d[0])
             texts.append(d[1])
             owner.append((place + base).astype(np.int32))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 #: Words whose hash a worker keeps; beyond it a hash is computed again, with the same result.
 KEPT_WORDS = 400_000
 #: Words that a task gathers before it hands them on, whatever the size of its partition.
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -35,6 +36,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffles and checkpoints that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % parts
