@@ -34,6 +34,8 @@ SYMBOLS, WIDTH, RADIUS = 64, 4, 31
 CHUNKS = SYMBOLS // WIDTH
 BLOCK = 1500
 ROUNDS = 3
+#: So many wanted ids are sent to all workers (16 MB); more are met in a shuffle of the texts.
+MOST_SENT = 2_000_000
 SEEDS = T.mixed(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 FACTORS = T.mixed(np.arange(101, SYMBOLS + 101, dtype=np.uint64)) | np.uint64(1)
 
@@ -121,7 +123,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([T.shingles(T.words_of(t, lower=True), k).tobytes() for t in texts], pa.binary())], ["rep", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    return texts.join(wanted, "rep", "left_semi").mapInArrow(run, "rep long, shingles binary")
+    wanted = T.durable(wanted)
+    few = wanted.count() <= MOST_SENT
+    return texts.join(F.broadcast(wanted) if few else wanted, "rep", "left_semi").mapInArrow(run, "rep long, shingles binary")
 
 
 def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -129,6 +133,8 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
     found = T.durable(entry_rows(classes))
     shared = T.durable(found.groupBy("entry").agg(F.count("*").alias("n"), F.min("rep").alias("centre"), F.max("rep").alias("other")).where("n > 1"))
     member = T.durable(found.join(shared.select("entry"), "entry"))
+    del found
+    T.release(docs.sparkSession)
     sig = classes.select("rep", "sig")
     root = None
     tested = None
@@ -153,6 +159,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
         every = got if every is None else T.durable(every.union(got))
         new = got.count()
         root = T.durable(components(every))
+        T.release(docs.sparkSession)
         if new == 0:
             break
     # What is left: classes of different components in one entry. Each pair of them is compared by signature.
