@@ -43,7 +43,7 @@ class Trees:
         for k in range(ORDER + 1):
             grams = sorted({g for c in counts.values() for g in c if len(g) == k + 1})
             self.codes.append(np.array([code(g) for g in grams], np.uint64))
-            seen[k] = np.array([[counts[x].get(g, 0) for x in self.languages] for g in grams], float).reshape(-1, n)
+            seen[k] = np.array([[counts[x].get(g, 0) for x in self.languages] for g in grams], float).reshape(len(grams), n)
         self.bits, self.contexts, self.escapes = [], [], []
         lower = np.full((1, n), 8.0)
         for k in range(ORDER + 1):
