@@ -139,7 +139,7 @@ def test_permutation(spark):
 
 def test_lm(docs, rows, none):
     got = lmscore.score(docs, fold("doc_id", 5) != 1).collect()
-    split_range = {(r.doc_id, r.n_tokens): (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lmscore.score(docs, fold("doc_id", 5) != 1, max_bytes=4000).collect()}
+    split_range = {(r.doc_id, r.n_tokens): (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lmscore.score(docs, fold("doc_id", 5) != 1, max_bytes=20_000).collect()}
     train = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 5 != 1
     counts = Counter()
     for i, t, *_ in rows:
