@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from . import text as T
 
 MAX_ROWS = 12_000
-#: Rarer words are unknown words; rarer bigrams are left to the backoff.
-LEAST_WORD, LEAST_PAIR = 3, 2
-DISCOUNT = 0.75
+#: Words of fewer continuations are unknown words; bigrams of fewer documents are left to the backoff.
+LEAST_WORD, LEAST_PAIR = 3, 20
+DISCOUNT, MARGIN, SLACK = 0.75, 3.0, 0.3
 #: Share of the labelled documents, in fifths, that fit the curve and not the counts.
 CURVE_FOLDS = 2
 
@@ -36,39 +36,41 @@ def word_list(text: str | None) -> list[str]:
     return [w.strip(".,;:!?\"'()") for w in text.lower().split()] if text else []
 
 
+def discounted(own: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Counts of a class against what the shared counts lead to expect: the departure is discounted by its own chance
+    size, MARGIN deviations and a share SLACK of what is expected, so that a rare expression falls back to the shared counts."""
+    gap = own - expected
+    return expected + np.sign(gap) * np.maximum(np.abs(gap) - MARGIN * np.sqrt(expected + 1) - SLACK * expected, 0)
+
+
 class Model:
     """Counts and what follows from them, as arrays. Word 0 is unknown, 1 stands before the first word."""
 
-    def __init__(self, words: list[tuple[str, int, int]], pairs: list[tuple[str, str, int, int]]):
-        self.index = {w: i + 2 for i, (w, _, _) in enumerate(words)}
-        n = len(words) + 2
-        get = self.index.get
-        left = np.array([1 if a == "" else get(a, 0) for a, _, _, _ in pairs], np.int64)
-        right = np.array([get(b, 0) for _, b, _, _ in pairs], np.int64)
-        counts = np.array([[t, o] for _, _, t, o in pairs], float).reshape(-1, 2)
-        code = left * n + right
-        self.codes, back = np.unique(code, return_inverse=True)
-        summed = np.zeros((len(self.codes), 2))
-        np.add.at(summed, back, counts)
-        h, w = self.codes // n, self.codes % n
-        self.size = n
-        seen = summed > 0
-        history, kinds = np.zeros((n, 2)), np.zeros((n, 2))
-        np.add.at(history, h, summed)
-        np.add.at(kinds, h, seen)
-        continued = np.zeros((n, 2))
-        np.add.at(continued, w, seen)
-        shared = continued.sum(1) + 0.5
-        shared /= shared.sum()
-        total, types = continued.sum(0) + 1e-9, (continued > 0).sum(0)
-        own = np.maximum(continued - DISCOUNT, 0) / total
-        self.lower = own + (DISCOUNT * types / total + 1e-12) * shared[:, None]
-        self.weight = np.where(history > 0, DISCOUNT * kinds / np.maximum(history, 1), 1.0)
-        self.direct = np.maximum(summed - DISCOUNT, 0) / np.maximum(history[h], 1)
+    def __init__(self, words: list[tuple], pairs: list[tuple]):
+        """words: (word, continuation counts toxic and ordinary, counts as a history toxic and ordinary, kinds of next
+        words), with '' for the start and None for unknown words; pairs: (history, word, counts toxic and ordinary)."""
+        self.index = {x[0]: i + 2 for i, x in enumerate(x for x in words if x[0])}
+        self.size = n = len(self.index) + 2
+        place = lambda w: 1 if w == "" else self.index.get(w, 0)
+        counts = np.zeros((n, 5))
+        for x in words:
+            counts[place(x[0])] += x[1:]
+        continued, history, kinds = counts[:, :2], counts[:, 2:4], counts[:, 4]
+        # Continuation counts, backed off to those that the classes share.
+        total = continued.sum(0) + 1
+        self.lower = (discounted(continued, continued.sum(1)[:, None] * total / total.sum()) + 0.5 * total / total.sum()) / total
+        # Bigrams, the same way; what discounting leaves goes to the continuation counts, alike in both classes.
+        both = np.maximum(history.sum(1), 1)
+        share = (history + 1) / (both + 2)[:, None]
+        self.weight = np.where(kinds > 0, np.minimum(DISCOUNT * kinds / both, 1.0), 1.0)[:, None] * np.ones(2)
+        known = sorted((place(h) * n + place(w), t, o) for h, w, t, o in pairs if (h == "" or h in self.index) and w in self.index)
+        self.codes, summed = np.array([x[0] for x in known], np.int64), np.array([x[1:] for x in known], float).reshape(len(known), 2)
+        h = self.codes // n
+        self.direct = discounted(np.maximum(summed - DISCOUNT * share[h], 0), np.maximum(summed.sum(1) - DISCOUNT, 0)[:, None] * share[h]) / (share[h] * both[h][:, None])
         self.curve = (0.0, -50.0)
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """The mean log ratio of each text."""
+        """The mean log ratio of each text on a logarithmic scale: one expression in a long text still tells."""
         get = self.index.get
         lists = [word_list(t) for t in texts]
         sizes = np.array([len(x) for x in lists])
@@ -86,7 +88,8 @@ class Model:
             p[hit] += self.direct[at[hit]]
         ratio = np.log(p[:, 0]) - np.log(p[:, 1])
         sums = np.bincount(np.repeat(np.arange(len(texts)), sizes), ratio, len(texts))
-        return sums / np.maximum(sizes, 1)
+        mean = sums / np.maximum(sizes, 1)
+        return np.sign(mean) * np.log1p(1000 * np.abs(mean))
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         a, b = self.curve
@@ -121,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
         for toxic, some in T.rows_of(batches, "toxic", "text"):
             for t, text in zip(toxic, some, strict=True):
                 words = word_list(text)
-                counts[t > 0].update(zip(["", *words], words, strict=False))
+                counts[t > 0].update(set(zip(["", *words], words, strict=False)))  # once a document
         for t in (0, 1):
             items = list(counts[t].items())
             for at in range(0, len(items), 50_000):
@@ -129,8 +132,13 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
                 yield pa.RecordBatch.from_arrays([pa.array([x[0][0] for x in part]), pa.array([x[0][1] for x in part]), pa.array([x[1] * t for x in part], pa.int64()), pa.array([x[1] * (1 - t) for x in part], pa.int64())], ["a", "b", "t", "o"])
 
     pairs = T.durable(texts.where(F.col("fold") >= CURVE_FOLDS).select("toxic", "text").mapInArrow(run, "a string, b string, t long, o long").groupBy("a", "b").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
-    words = pairs.groupBy("b").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).where(F.col("t") + F.col("o") >= LEAST_WORD).orderBy("b")
-    model = Model([(x.b, x.t, x.o) for x in words.collect()], [tuple(x) for x in pairs.where(F.col("t") + F.col("o") >= LEAST_PAIR).select("a", "b", "t", "o").collect()])
+    after = pairs.groupBy(F.col("b").alias("w")).agg(F.count_if(F.col("t") > 0).alias("ct"), F.count_if(F.col("o") > 0).alias("co"))
+    before = pairs.groupBy(F.col("a").alias("w")).agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"), F.count("*").alias("kinds"))
+    words = after.join(before, "w", "full").fillna(0)
+    rare = (F.col("ct") + F.col("co") < LEAST_WORD) & (F.col("w") != "")
+    words = words.groupBy(F.when(~rare, F.col("w")).alias("w")).agg(*[F.sum(c).alias(c) for c in ("ct", "co", "ht", "ho", "kinds")]).orderBy("w")
+    often = pairs.where(F.col("t") + F.col("o") >= LEAST_PAIR).select("a", "b", "t", "o")
+    model = Model([tuple(x) for x in words.collect()], [tuple(x) for x in often.collect()])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
