@@ -165,7 +165,7 @@ def pack(docs: DataFrame, capacity: int, tokenizer: str, end_id: int = 0, cell:
     def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for x in pdf.itertuples():
-                sizes, bin_of = np.frombuffer(x.sizes, np.int32).astype(np.int64), np.frombuffer(x.elite, np.int32)
+                sizes, bin_of = np.frombuffer(x.sizes, np.int32).astype(np.int64), np.frombuffer(x.elite, np.int32).astype(np.int64)
                 order = np.argsort(bin_of, kind="stable")
                 ends = np.cumsum(sizes[order])
                 first = np.r_[True, bin_of[order][1:] != bin_of[order][:-1]]
