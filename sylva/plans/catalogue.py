@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import curves, tiles
-from ..operators import buildings, heights, matching, rasters
+from ..operators import buildings, crowns, heights, matching, rasters
 from ..sources.views import view, with_views
 
 #: Fine pixels that a full cell holds; the driver's tables give about 15 at sf 0.001 and 150 at 0.01.
@@ -300,6 +300,36 @@ def mosaic(spark, sf_dir):
     return both.groupBy("r", "c").agg(F.min_by("h", "tile").alias("h"))
 
 
+def trees_by(method: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crowns.numbered(crowns.trees(view(spark, sf_dir, "canopy"), crowns.Rule(crowns=method)))
+
+
+# Merging by markers and growing crowns follow an order that SQL cannot say; tests/test_crowns.py holds them against brute force.
+@query(None)
+def trees_watershed(spark, sf_dir):
+    return trees_by("watershed", spark, sf_dir).drop("crown")
+
+
+@query(None)
+def trees_dalponte(spark, sf_dir):
+    return trees_by("dalponte", spark, sf_dir).drop("crown")
+
+
+@query(None)
+def trees_silva(spark, sf_dir):
+    return trees_by("silva", spark, sf_dir).drop("crown")
+
+
+@query(None)
+def crown_labels(spark, sf_dir):
+    return crowns.labels(trees_by("watershed", spark, sf_dir))
+
+
+@query(None)
+def crown_outlines(spark, sf_dir):
+    return crowns.outline_edges(crowns.labels(trees_by("watershed", spark, sf_dir)))
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in Q.items()}
 
