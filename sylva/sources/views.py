@@ -14,7 +14,7 @@ VIEWS = {
     "canopy": "SELECT r, c, max(v) AS h FROM fine_px GROUP BY r, c",
     "eth_cells": "SELECT CAST(p_partkey % 400 AS BIGINT) AS cell_id, CAST(max(p_size) AS DOUBLE) AS eth_m FROM part WHERE (p_partkey % 400) % 17 <> 0 GROUP BY 1",
     "date_cells": """SELECT CAST(o_orderkey % 400 AS BIGINT) AS cell_id, CAST(max((year(o_orderdate)+20)*10000 + month(o_orderdate)*100 + day(o_orderdate)) AS INT) AS meta_date
-        FROM orders WHERE (o_orderkey % 400) % 13 <> 0 AND o_orderkey < 2000 GROUP BY 1""",
+        FROM orders WHERE (o_orderkey % 400) % 13 <> 0 GROUP BY 1""",
     "truth_cells": "SELECT CAST(c_custkey % 400 AS BIGINT) AS cell_id, CAST(max((c_custkey*13) % 45) AS DOUBLE) AS truth_m FROM customer GROUP BY 1",
     "footprints": """SELECT s_suppkey AS fid, CAST((s_suppkey*37) % 180 AS DOUBLE) AS xmin, CAST((s_suppkey*53) % 180 AS DOUBLE) AS ymin,
         CAST((s_suppkey*37) % 180 + 4 + s_suppkey % 7 AS DOUBLE) AS xmax, CAST((s_suppkey*53) % 180 + 4 + s_suppkey % 5 AS DOUBLE) AS ymax,
