@@ -8,13 +8,17 @@ logistic curve, fitted on labelled texts that the counts did not see, turns it i
 Labels come from at most MAX_ROWS labelled documents (the first in the order of a hash of the id): that bounds the
 models and what is broadcast. Every text is scored whole.
 
+Every word and every bigram of the counted documents is in the models, however rare. A bigram is expected to be divided
+between the classes as its history and its word are, so one that is too rare to depart from that says what its word says.
+
 Defined results: null and empty texts have no words and the feature 0; words outside the models count as one unknown
-word; repeated rows are scored each; labels that are null or of unknown documents are not used, of several labels of an
+word, alike in both classes; repeated rows are scored each; labels that are null or of unknown documents are not used, of several labels of an
 id the largest holds; without labels of both classes every score is 0.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +29,6 @@ from pyspark.sql import functions as F
 from . import text as T
 
 MAX_ROWS = 12_000
-#: Words of fewer continuations are unknown words; bigrams of fewer documents are left to the backoff.
-LEAST_WORD, LEAST_PAIR = 3, 20
 DISCOUNT, MARGIN, SLACK = 0.75, 3.0, 0.3
 #: Share of the labelled documents, in fifths, that fit the curve and not the counts.
 CURVE_FOLDS = 2
@@ -44,33 +46,53 @@ def discounted(own: np.ndarray, expected: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Counts and what follows from them, as arrays. Word 0 is unknown, 1 stands before the first word."""
-
-    def __init__(self, words: list[tuple], pairs: list[tuple]):
-        """words: (word, continuation counts toxic and ordinary, counts as a history toxic and ordinary, kinds of next
-        words), with '' for the start and None for unknown words; pairs: (history, word, counts toxic and ordinary)."""
-        self.index = {x[0]: i + 2 for i, x in enumerate(x for x in words if x[0])}
-        self.size = n = len(self.index) + 2
-        place = lambda w: 1 if w == "" else self.index.get(w, 0)
-        counts = np.zeros((n, 5))
-        for x in words:
-            counts[place(x[0])] += x[1:]
+    """Counts and what follows from them, as arrays. Word 0 is unknown, 1 stands before the first word.
+
+    Only counts are sent to the workers, compressed: there are millions of bigrams, most of them of one document."""
+
+    def __init__(self, words: list[str], counts: np.ndarray, codes: np.ndarray, summed: np.ndarray):
+        """words: their places are from 2; counts by place: continuation counts toxic and ordinary, counts as a history
+        toxic and ordinary, kinds of next words; codes: history's place * size + word's place, ascending; summed: their
+        counts toxic and ordinary."""
+        self.words, self.counts, self.codes, self.summed = words, counts, codes, summed
+        self.size = len(words) + 2
+        self.curve = (0.0, -50.0)
+        self.index: dict[str, int] | None = None
+
+    def __getstate__(self) -> tuple:
+        pack = lambda x, kind: zlib.compress(np.ascontiguousarray(x, kind).tobytes(), 1)
+        return zlib.compress("\n".join(self.words).encode(), 1), pack(self.counts, "<i4"), pack(np.diff(self.codes, prepend=0), "<i8"), pack(self.summed, "<i4"), self.curve
+
+    def __setstate__(self, state: tuple) -> None:
+        words, counts, codes, summed = map(zlib.decompress, state[:4])
+        self.__init__(words.decode().split("\n") if words else [], np.frombuffer(counts, "<i4").reshape(-1, 5), np.cumsum(np.frombuffer(codes, "<i8")), np.frombuffer(summed, "<i4").reshape(-1, 2))
+        self.curve = state[4]
+
+    def derive(self) -> None:
+        """The probabilities, where they are first needed."""
+        n, codes, counts = self.size, self.codes, self.counts.astype(float)
         continued, history, kinds = counts[:, :2], counts[:, 2:4], counts[:, 4]
         # Continuation counts, backed off to those that the classes share.
         total = continued.sum(0) + 1
         self.lower = (discounted(continued, continued.sum(1)[:, None] * total / total.sum()) + 0.5 * total / total.sum()) / total
-        # Bigrams, the same way; what discounting leaves goes to the continuation counts, alike in both classes.
+        # Bigrams, the same way, against their history's and their word's shares; what discounting leaves goes to the
+        # continuation counts, alike in both classes.
         both = np.maximum(history.sum(1), 1)
         share = (history + 1) / (both + 2)[:, None]
         self.weight = np.where(kinds > 0, np.minimum(DISCOUNT * kinds / both, 1.0), 1.0)[:, None] * np.ones(2)
-        known = sorted((place(h) * n + place(w), t, o) for h, w, t, o in pairs if (h == "" or h in self.index) and w in self.index)
-        self.codes, summed = np.array([x[0] for x in known], np.int64), np.array([x[1:] for x in known], float).reshape(len(known), 2)
-        h = self.codes // n
-        self.direct = discounted(np.maximum(summed - DISCOUNT * share[h], 0), np.maximum(summed.sum(1) - DISCOUNT, 0)[:, None] * share[h]) / (share[h] * both[h][:, None])
-        self.curve = (0.0, -50.0)
+        self.direct = np.empty((len(codes), 2))
+        for at in range(0, len(codes), 100_000):
+            code, own = codes[at : at + 100_000], self.summed[at : at + 100_000]
+            h = code // n
+            part = share[h] * self.lower[code % n]
+            part /= part.sum(1, keepdims=True)
+            self.direct[at : at + 100_000] = discounted(np.maximum(own - DISCOUNT * part, 0), np.maximum(own.sum(1) - DISCOUNT, 0)[:, None] * part) / (share[h] * both[h][:, None])
+        self.index = {w: i + 2 for i, w in enumerate(self.words)}
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """The mean log ratio of each text on a logarithmic scale: one expression in a long text still tells."""
+        if self.index is None:
+            self.derive()
         get = self.index.get
         lists = [word_list(t) for t in texts]
         sizes = np.array([len(x) for x in lists])
@@ -134,11 +156,28 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
     pairs = T.durable(texts.where(F.col("fold") >= CURVE_FOLDS).select("toxic", "text").mapInArrow(run, "a string, b string, t long, o long").groupBy("a", "b").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
     after = pairs.groupBy(F.col("b").alias("w")).agg(F.count_if(F.col("t") > 0).alias("ct"), F.count_if(F.col("o") > 0).alias("co"))
     before = pairs.groupBy(F.col("a").alias("w")).agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"), F.count("*").alias("kinds"))
-    words = after.join(before, "w", "full").fillna(0)
-    rare = (F.col("ct") + F.col("co") < LEAST_WORD) & (F.col("w") != "")
-    words = words.groupBy(F.when(~rare, F.col("w")).alias("w")).agg(*[F.sum(c).alias(c) for c in ("ct", "co", "ht", "ho", "kinds")]).orderBy("w")
-    often = pairs.where(F.col("t") + F.col("o") >= LEAST_PAIR).select("a", "b", "t", "o")
-    model = Model([tuple(x) for x in words.collect()], [tuple(x) for x in often.collect()])
+    words = after.join(before, "w", "full").fillna(0).orderBy("w").toArrow()
+    # '' is the start, which no word follows.
+    names = words.column("w").to_pylist()
+    listed = [w for w in names if w]
+    index = {w: i + 2 for i, w in enumerate(listed)}
+    counts = np.zeros((len(index) + 2, 5), np.int32)
+    counts[[index.get(w, 1) for w in names]] = np.stack([words.column(c).to_numpy() for c in ("ct", "co", "ht", "ho", "kinds")], 1)
+    del words, names
+    placed = docs.sparkSession.sparkContext.broadcast(index)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = placed.value
+        for a, b, t, o in T.rows_of(batches, "a", "b", "t", "o"):
+            codes = [place.get(h, 1) * (len(place) + 2) + place[w] for h, w in zip(a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in ((codes, pa.int64()), (t, pa.int32()), (o, pa.int32()))], ["code", "t", "o"])
+
+    known = pairs.where("b <> ''").mapInArrow(coded, "code long, t int, o int").toArrow()
+    codes, summed = known.column("code").to_numpy(), np.stack([known.column(c).to_numpy() for c in ("t", "o")], 1)
+    order = np.argsort(codes)
+    model = Model(listed, counts, codes[order], summed[order])
+    del known, codes, summed, order, index
+    placed.destroy()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
 
     points = texts.where(F.col("fold") < CURVE_FOLDS).select("toxic", "text").mapInArrow(measured, "toxic int, x double").collect()
     y, x = np.array([float(p.toxic > 0) for p in points]), np.array([p.x for p in points])
+    shared.destroy()
     if len(set(y)) == 2:
         model.curve = curve(x, y)
     return model
