@@ -55,11 +55,25 @@ def provenance(cells: DataFrame) -> DataFrame:
     )
 
 
-def expected_error(height: Column) -> Column:
-    out = F.lit(curves.ERRORS[0])
-    for edge, error in zip(curves.BANDS[1:], curves.ERRORS[1:], strict=True):
-        out = F.when(height >= edge, F.lit(error)).otherwise(out)
-    return F.when(height.isNotNull(), out)
+def expected_error(height: Column, weight: Column | None = None, tables: dict[str, list[tuple[float, float]]] | None = None) -> Column:
+    """The mean absolute error of the reading used, in the height's band: the blend's for a weight between 0 and 1 (or where
+    no weight is given), one map's calibrated reading for 1 (Meta) and 0 (ETH). tables: (lower edge, error) ascending by
+    'blend', 'meta' and 'eth'; a band that a table leaves out takes the next lower one, or its first. Null where a reading
+    has no table: the published one holds the blend only."""
+    tables = {"blend": list(zip(curves.BANDS, curves.ERRORS, strict=True))} | (tables or {})
+
+    def of(reading: str) -> Column:
+        rows = tables.get(reading)
+        if not rows:
+            return F.lit(None).cast("double")
+        out = F.lit(float(rows[0][1]))
+        for edge, error in rows[1:]:
+            out = F.when(height >= edge, F.lit(float(error))).otherwise(out)
+        return F.when(height.isNotNull(), out)
+
+    if weight is None:
+        return of("blend")
+    return F.when((weight > 0) & (weight < 1), of("blend")).when(weight == 1, of("meta")).when(weight == 0, of("eth"))
 
 
 def fine_factor(height: Column, top: Column) -> Column:

@@ -76,6 +76,12 @@ def expected_error(spark, sf_dir):
     return cells(spark, sf_dir).select("cell_id", curves.band(F.col("height")).alias("band"), heights.expected_error(F.col("height")).alias("expected_abs_error_m"))
 
 
+@query(f"WITH {CELLS} SELECT cell_id, weight > 0 AND weight < 1 AS blended, CASE WHEN weight > 0 AND weight < 1 THEN {ERROR} END AS expected_abs_error_m FROM cells")
+def expected_error_by_reading(spark, sf_dir):
+    weight = F.col("weight")
+    return cells(spark, sf_dir).select("cell_id", ((weight > 0) & (weight < 1)).alias("blended"), heights.expected_error(F.col("height"), weight).alias("expected_abs_error_m"))
+
+
 @query(f"WITH {CELLS}, told AS ({PROVENANCE} FROM cells) SELECT source, flags, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM told GROUP BY source, flags")
 def source_shares(spark, sf_dir):
     from pyspark.sql import Window
