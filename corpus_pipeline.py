@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, near-duplicates, substring repeats, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
-columns of documents. Rows are judged by doc_id; rows with a null doc_id are kept by the filtering stages.
+columns of documents. Near-duplicates and benchmark passages are judged row by row, whatever the doc_id: null and repeated
+ids are rows like others.
 """
 
 from __future__ import annotations
@@ -27,10 +28,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select(*COLUMNS), model).where(F.col("score") < 0.5).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of its own for each row, which stays the same from here on."""
+    return durable(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group: five-word shingles, similarity 0.8 or more."""
-    gone = neardup.groups(docs, 5, 80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(durable(gone), "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group, that of the smallest doc_id (null last): five-word shingles, similarity 0.8 or more."""
+    own = keyed(docs)
+    named = durable(neardup.groups(own.select(F.col("row").alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("row"), "n_shingles", "component_id"))
+    first = named.where("n_shingles > 0").join(own.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    kept = first.select("first.row").union(named.where("n_shingles = 0").select("row"))
+    return own.join(durable(kept), "row", "left_semi").select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +49,9 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a window that is similar to a benchmark item: five-word shingles, 0.8 or more."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(durable(found), "doc_id", "left_anti").select(*COLUMNS)
+    own = keyed(docs)
+    found = decontam.contaminated(own.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct()
+    return own.join(durable(found), "row", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

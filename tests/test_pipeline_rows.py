@@ -1,0 +1,30 @@
+"""The pipeline's filtering stages judge rows, also where ids are null or repeated."""
+
+import random
+from collections import Counter
+
+import corpus_pipeline
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def texts(n, words=60):
+    rng = random.Random(4)
+    return [" ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(words)) for _ in range(n)]
+
+
+def test_near_duplicates(spark):
+    a, b, c, d = texts(4)
+    rows = [(None, a), (None, a), (None, a), (1, b), (1, b), (2, c), (2, d), (3, d), (None, c), (5, ""), (5, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA).repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(None, a), (1, b), (2, c), (2, d), (5, ""), (5, ""), (None, None)])
+
+
+def test_contaminated(spark, tmp_path):
+    a, b, item = texts(3)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{a} {item}"), (None, b), (1, f"{b} {item}"), (1, a), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect())
+    assert got == Counter([(None, b), (1, a), (2, None)])
