@@ -10,8 +10,9 @@ one entry from each task. Suffix positions travel packed in binary blocks, about
 
 Defined results: null and empty texts have no words; a null doc_id comes before all others; rows with the same doc_id
 and text are one document (each keeps the same words); rows with one doc_id and different texts are compared with each
-other by their starts alone; other columns are kept by `deduplicated` as they are. Fingerprints have 64 bits beside the
-group's, so that unequal prefixes are taken as equal with a chance of about pairs / 2 ** 70.
+other by their starts alone; other columns are kept by `deduplicated` as they are. Fingerprints have 64 bits; the group
+follows from them and adds none, and no step compares the words, so that unequal prefixes are taken as equal with a chance
+of about pairs / 2 ** 64.
 """
 
 from __future__ import annotations
