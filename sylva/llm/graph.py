@@ -1,4 +1,11 @@
-"""Connected components of a table of links, in place: no link reaches the driver."""
+"""Connected components of a table of links, in place: no link reaches the driver.
+
+Each pass points every node at the neighbour (or itself) that a hash of the name ranks lowest, and draws the links again
+between what their ends point at. Under a random rank a constant share of the nodes goes in each pass, so the passes grow
+with the logarithm of the nodes, on a path as well. A node's neighbours are met in a minimum, which is combined before
+the shuffle; where rows look a node up, a small table is broadcast and a large one is met in salted parts, so a node with
+a third of the links is not one task's work.
+"""
 
 from __future__ import annotations
 
@@ -7,26 +14,39 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
+#: A table of at most so many rows of two longs is broadcast (some 10 MB); a larger one is shuffled in SALTS parts a node.
+FEW, SALTS = 300_000, 16
+
+
+def looked_up(rows: DataFrame, column: str, table: DataFrame, few: bool) -> DataFrame:
+    """rows with column replaced by its root in table (node, root); nodes that the table leaves out stay."""
+    names = rows.columns
+    if few:
+        met = rows.join(F.broadcast(table.select(F.col("node").alias("_n"), F.col("root").alias("_r"))), rows[column] == F.col("_n"), "left")
+    else:
+        salted = table.select(F.col("node").alias("_n"), F.col("root").alias("_r"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_t"))
+        rows = rows.withColumn("_s", F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int"))
+        met = rows.join(salted, (rows[column] == F.col("_n")) & (F.col("_s") == F.col("_t")), "left")
+    return met.withColumn(column, F.coalesce("_r", column)).select(*names)
+
 
-def components(links: DataFrame) -> DataFrame:
-    """links (a, b) -> (node, root): root is the smallest node reachable. Alternates large and small stars.
+def components(links: DataFrame, few: int = FEW) -> DataFrame:
+    """links (a, b) -> (node, root): root is the smallest node reachable.
 
-    Each pass points the larger neighbours, then the smaller ones, at the smallest; hubs are joined, never gathered.
-    Null ends are dropped; a link of a node with itself says nothing; no links give no rows.
+    Null ends are dropped; a link of a node with itself says nothing; no links give no rows; repeated links count once.
     """
-    pairs = T.durable(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    edges = T.durable(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = None
     while True:
-        both = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.where("a > b")
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        pairs = T.durable(small.where("a > b").distinct())
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first()
-        if tuple(now) == before:
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ranked = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("b"))).alias("m"))
+        own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("b"))
+        step = T.durable(ranked.select(F.col("a").alias("node"), F.least(own, F.col("m"))["b"].alias("root")))
+        small = step.count() <= few
+        found = step if found is None else T.durable(looked_up(found, "root", step, small))
+        drawn = looked_up(looked_up(edges, "a", step, small), "b", step, small).where("a <> b")
+        edges = T.durable(drawn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if edges.isEmpty():
             break
-        before = tuple(now)
-    roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    least = found.groupBy("root").agg(F.min("node").alias("least"))
+    return looked_up(found, "root", least.select(F.col("root").alias("node"), F.col("least").alias("root")), found.count() <= few)

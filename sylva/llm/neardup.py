@@ -7,14 +7,19 @@ entered with every choice of one symbol left out (which covers no error too), an
 entry: a guarantee, not a chance. At a similarity of 0.8 the number of differing symbols has mean 12.8 and deviation
 3.2, so RADIUS 31 misses a linked pair with a chance of about 1e-8. Every link is confirmed on the full sets.
 
-An entry may hold a third of all classes, so its pairs are never listed. Rounds link each class to one centre of its
-entry, verify, and merge components, until few are left apart; then only classes of different components that share
-an entry are compared, by signature first, in blocks of at most BLOCK classes.
+Within an entry two classes are compared where they stand, and most pairs end there: a pair counts in the first entry it
+shares, its sizes must allow the similarity, and so must its parity sketches. A sketch has a bit for each residue of the
+shingles' hashes, set if an odd number falls there; two sketches differ in no more bits than the sets do in shingles, so
+a pair over the limit is surely no link, and no link is lost there.
+
+What is left is not listed as pairs either. A round takes each class's few closest partners of other components, tests
+first the closest one of each class, merges components, then tests what still lies between two of them. The next round
+looks further, until no class has a partner that was not looked at. An entry of over BLOCK classes is compared in blocks
+of two parts each.
 
 Defined results: without words (or text) a set is empty and linked with nothing; fewer than k words are one shingle;
-repeated rows fall together;
-of different texts under one doc_id the component is that of one of them; a null doc_id takes no part, its component is null
-and it is kept.
+repeated rows fall together; a doc_id with different texts stands for each of them, and its rows may have different
+components; a null doc_id takes no part, its component is null and it is kept.
 """
 
 from __future__ import annotations
@@ -22,184 +27,316 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .graph import components
+from .graph import FEW, components, looked_up
 
 SYMBOLS, WIDTH, RADIUS = 64, 4, 31
 CHUNKS = SYMBOLS // WIDTH
-BLOCK = 1500
-ROUNDS = 3
+#: Classes of an entry that one part of a block holds.
+BLOCK = 2048
+#: Partners of each class that the first round looks at, and how many times more each further round does.
+FIRST, WIDER = 2, 8
+#: Bits of a parity sketch: the least power of two from twice the set's size on, within these bounds.
+LEAST_BITS, MOST_BITS = 64, 1 << 15
 #: So many wanted ids are sent to all workers (16 MB); more are met in a shuffle of the texts.
 MOST_SENT = 2_000_000
-SEEDS = T.mixed(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-FACTORS = T.mixed(np.arange(101, SYMBOLS + 101, dtype=np.uint64)) | np.uint64(1)
+SEEDS = (T.mixed(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(np.uint32)
+FACTORS = T.mixed(np.arange(101, SYMBOLS + 101, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """64 min-hashes, each cut to 16 well mixed bits."""
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+    """64 min-hashes of 32 bits, each cut to 16 well mixed ones."""
+    least, short = np.full(SYMBOLS, np.iinfo(np.uint32).max, np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 1024):
-            part = shingles[at : at + 1024]
-            least = np.minimum(least, ((part[None, :] ^ SEEDS[:, None]) * FACTORS[:, None]).min(1))
-    return (T.mixed(least ^ SEEDS) >> np.uint64(48)).astype(np.uint16)
+        for at in range(0, len(short), 1024):
+            least = np.minimum(least, ((short[None, at : at + 1024] ^ SEEDS[:, None]) * FACTORS[:, None]).min(1))
+    return (T.mixed(least.astype(np.uint64) | SEEDS.astype(np.uint64) << np.uint64(32)) >> np.uint64(48)).astype(np.uint16)
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """The sketch's 64-bit words: bit i is the parity of the shingles whose hash has the residue i."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(shingles) - 1).bit_length()))
+    held = np.bincount((T.mixed(shingles) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(held.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def entries(sig: np.ndarray) -> np.ndarray:
-    """The 64 entries of a signature: for each chunk, and each symbol left out, a hash of the rest."""
-    chunks = sig.reshape(CHUNKS, WIDTH).astype(np.uint64)
-    out = np.empty((CHUNKS, WIDTH), np.uint64)
+def entries(sigs: np.ndarray) -> np.ndarray:
+    """(n, 64) signatures -> (n, 64) entries: for each chunk, and each symbol left out, a hash of the rest."""
+    chunks = sigs.reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
+    out = np.empty(chunks.shape, np.uint64)
     where = np.arange(CHUNKS, dtype=np.uint64)
     for gone in range(WIDTH):
-        left = np.delete(chunks, gone, 1)
-        packed = left[:, 0] << np.uint64(32) | left[:, 1] << np.uint64(16) | left[:, 2]
-        out[:, gone] = packed | (where * np.uint64(WIDTH) + np.uint64(gone)) << np.uint64(48)
-    return T.mixed(out.ravel())
+        left = np.delete(chunks, gone, 2)
+        packed = left[..., 0] << np.uint64(32) | left[..., 1] << np.uint64(16) | left[..., 2]
+        out[..., gone] = packed | (where * np.uint64(WIDTH) + np.uint64(gone)) << np.uint64(48)
+    return T.mixed(out.reshape(-1, SYMBOLS))
+
+
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for the whole set."""
+    with np.errstate(over="ignore"):
+        return int(T.mixed(s).sum(dtype=np.uint64).view(np.int64)), int(T.mixed(s ^ T.MIX).sum(dtype=np.uint64).view(np.int64))
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_hi, set_lo (128 bits of the set), sig."""
+    """doc_id, n_shingles, set_hi, set_lo (128 bits of the set), sig, odd (the sketch)."""
     T.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in T.rows_of(batches, "doc_id", "text"):
-            n, hi, lo, sigs = [], [], [], []
+            rows = []
             for text in texts:
                 s = T.shingles(T.words_of(text, lower=True), k)
-                n.append(len(s))
-                with np.errstate(over="ignore"):
-                    hi.append(int(T.mixed(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                    lo.append(int(T.mixed(s ^ T.MIX).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_hi", "set_lo", "sig"])
+                rows.append((len(s), *set_key(s), signature(s).tobytes(), parity(s).tobytes()) if len(s) else (0, 0, 0, None, None))
+            if rows:
+                columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, t) for c, t in columns]], ["doc_id", "n_shingles", "set_hi", "set_lo", "sig", "odd"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, sig binary, odd binary")
 
 
 def entry_rows(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sigs in T.rows_of(batches, "rep", "sig"):
+        for ids, sigs in T.rows_of(batches, "cls", "sig"):
             if ids:
-                keys = np.concatenate([entries(np.frombuffer(s, np.uint16)) for s in sigs])
-                yield pa.RecordBatch.from_arrays([pa.array(T.signed(keys)), pa.array(np.repeat(np.array(ids, np.int64), SYMBOLS))], ["entry", "rep"])
-
-    return classes.select("rep", "sig").mapInArrow(run, "entry long, rep long")
+                keys = entries(np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, SYMBOLS))
+                yield pa.RecordBatch.from_arrays([pa.array(T.signed(keys.ravel())), pa.array(np.repeat(np.array(ids, np.int64), SYMBOLS))], ["entry", "cls"])
+
+    return classes.select("cls", "sig").mapInArrow(run, "entry long, cls long")
+
+
+class Sketches:
+    """The sketches of some classes, by their number of bits; of two sizes the larger one is folded."""
+
+    def __init__(self, odd: list[bytes]):
+        words = np.array([len(x) // 8 for x in odd])
+        self.level = np.log2(words).astype(int)
+        self.row = np.zeros(len(odd), np.int64)
+        self.own: dict[int, np.ndarray] = {}
+        self.folded: dict[int, np.ndarray] = {}
+        for level in np.unique(self.level).tolist():
+            at = np.flatnonzero(self.level == level)
+            self.row[at] = np.arange(len(at))
+            held = np.frombuffer(b"".join([odd[i] for i in at]), np.uint64).reshape(len(at), -1)
+            self.own[level] = held
+            # Residues modulo half the bits: the halves are added, and odd plus odd is even.
+            self.folded[level] = held[:, : held.shape[1] // 2] ^ held[:, held.shape[1] // 2 :] if level else held
+
+    def apart(self, p: int, others: np.ndarray) -> np.ndarray:
+        """In how many bits p differs from the others, whose levels are p's or next to it; never more than their sets do."""
+        out, level = np.zeros(len(others), np.int64), int(self.level[p])
+        for other in np.unique(self.level[others]).tolist():
+            at = np.flatnonzero(self.level[others] == other)
+            if abs(other - level) > 1:
+                continue  # cannot be similar enough; 0 lets the exact test decide
+            mine = self.folded[level][self.row[p]] if other < level else self.own[level][self.row[p]]
+            theirs = (self.folded if other > level else self.own)[other][self.row[others[at]]]
+            out[at] = np.bitwise_count(mine ^ theirs).sum(1)
+        return out
+
+
+def partners(entry: int, sides: np.ndarray | None, cls: np.ndarray, root: np.ndarray, size: np.ndarray, sigs: np.ndarray, sketches: Sketches, base: int, most: int, percent: int) -> tuple[list[np.ndarray], bool]:
+    """(lower class, higher class, score) of each class's `most` closest partners of other components in one block, and whether
+    there were more. sides: False for one part, True for the other, None if there is but one."""
+    slot = int(np.flatnonzero(T.signed(entries(sigs[:1])[0]) == entry)[0])
+    chunk, gone = divmod(slot, WIDTH)
+    order = np.argsort(size, kind="stable")
+    cls, root, size, sigs = cls[order], root[order], size[order], sigs[order]
+    sides = None if sides is None else sides[order]
+    reach = np.searchsorted(size, size * 100 // percent, "right")
+    left, right, score = [], [], []
+    for p in range(len(cls) - 1):
+        q = np.arange(p + 1, reach[p])
+        q = q[root[q] != root[p]] if sides is None else q[(root[q] != root[p]) & (sides[q] != sides[p])]
+        if not len(q):
+            continue
+        same = sigs[q] == sigs[p]
+        # The pair's first entry is this one: no earlier chunk has three equal symbols, and here the symbol left out
+        # is the first choice.
+        ok = same.sum(1) >= SYMBOLS - RADIUS
+        if chunk:
+            ok &= (same[:, : chunk * WIDTH].reshape(len(q), chunk, WIDTH).sum(2) < WIDTH - 1).all(1)
+        if gone:
+            ok &= ~same[:, slot]
+        q = q[ok]
+        if len(q):
+            differ = sketches.apart(base + order[p], base + order[q])
+            both = size[q] + size[p]
+            ok = (100 + percent) * differ <= (100 - percent) * both
+            left.append(np.full(ok.sum(), p))
+            right.append(q[ok])
+            score.append(differ[ok] / both[ok])
+    if not left:
+        return [], False
+    a, b, x = np.concatenate(left), np.concatenate(right), np.concatenate(score)
+    total = len(a)
+    # Each end ranks its partners by score, then by name; a pair stays if either end ranks it among the first.
+    ends, other, x2, pair = np.r_[a, b], np.r_[b, a], np.r_[x, x], np.r_[np.arange(len(a)), np.arange(len(a))]
+    order = np.lexsort((cls[other], x2, ends))
+    ends, pair = ends[order], pair[order]
+    start = np.maximum.accumulate(np.where(np.r_[True, ends[1:] != ends[:-1]], np.arange(len(ends)), 0)) if len(ends) else ends
+    near = np.unique(pair[np.arange(len(ends)) - start < most])
+    a, b, x = cls[a[near]], cls[b[near]], x[near]
+    return [np.minimum(a, b), np.maximum(a, b), x], len(near) < total
+
+
+def candidates(rows: DataFrame, most: int, percent: int) -> DataFrame:
+    """a, b, score of each class's closest partners, from rows (entry, i, j, own, cls, root, n_shingles, sig, odd).
+    A row with a = b = -1 says that there are more."""
+
+    def settled(parts: list[list]) -> Iterator[pa.RecordBatch]:
+        entry, i, j, own, cls, root, size = (np.array(c, np.int64) for c in parts[:7])
+        sigs = np.frombuffer(b"".join(parts[7]), np.uint16).reshape(-1, SYMBOLS)
+        sketches = Sketches(parts[8])
+        cuts = np.flatnonzero(np.r_[True, (entry[1:] != entry[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), True])
+        out: list[list[np.ndarray]] = []
+        more = False
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if e - s > 1:
+                sides = None if i[s] == j[s] else own[s:e] == j[s]
+                found, cut = partners(int(entry[s]), sides, cls[s:e], root[s:e], size[s:e], sigs[s:e], sketches, s, most, percent)
+                more |= cut
+                if found:
+                    out.append(found)
+        if more:
+            out.append([np.array([-1]), np.array([-1]), np.array([0.0])])
+        if out:
+            a, b, x = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(x, pa.float64())], ["a", "b", "score"])
 
-
-def apart(a: Column, b: Column) -> Column:
-    """Near by signature: both 128-byte signatures as hex, compared symbol by symbol in the JVM."""
-    differ = F.aggregate(F.sequence(F.lit(0), F.lit(SYMBOLS - 1)), F.lit(0), lambda n, i: n + F.when(F.substring(a, 2 * i + 1, 2) == F.substring(b, 2 * i + 1, 2), 0).otherwise(1))
-    return differ <= RADIUS
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("entry", "i", "j", "own", "cls", "root", "n_shingles", "sig", "odd")
+        held: list[list] = [[] for _ in names]
+        for columns in T.rows_of(batches, *names):
+            for h, c in zip(held, columns, strict=True):
+                h += c
+            if len(held[0]) >= 2 * BLOCK:  # all but the last block, which may go on
+                last = tuple(held[k][-1] for k in range(3))
+                cut = len(held[0])
+                while cut and (held[0][cut - 1], held[1][cut - 1], held[2][cut - 1]) == last:
+                    cut -= 1
+                if cut:
+                    yield from settled([h[:cut] for h in held])
+                    held = [h[cut:] for h in held]
+        if held[0]:
+            yield from settled(held)
+
+    dealt = rows.repartition("entry", "i", "j").sortWithinPartitions("entry", "i", "j")
+    return dealt.select("entry", "i", "j", "own", "cls", "root", "n_shingles", "sig", "odd").mapInArrow(run, "a long, b long, score double").groupBy("a", "b").agg(F.min("score").alias("score"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity. A set travels with each pair once, its partner's is met in a join."""
+    """The pairs (a, b) whose full sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, x, y in T.rows_of(batches, "a", "b", "x", "y"):
             out = ([], [])
             for p, q, s, t in zip(a, b, x, y, strict=True):
                 s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
+                at = np.searchsorted(s, t)
+                both = int((s[np.minimum(at, len(s) - 1)] == t).sum())
                 if 100 * both >= percent * (len(s) + len(t) - both):
                     out[0].append(p)
                     out[1].append(q)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
-    left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    left, right = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """rep, shingles: the whole sets of the wanted classes, from the text of the class's first document."""
+    """cls, shingles: the whole sets of the wanted classes (cls, rep, n_shingles, set_hi, set_lo), from a text that has the
+    class's own key: a doc_id may stand for several texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in T.rows_of(batches, "rep", "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([T.shingles(T.words_of(t, lower=True), k).tobytes() for t in texts], pa.binary())], ["rep", "shingles"])
+        for (texts,) in T.rows_of(batches, "text"):
+            rows = []
+            for text in texts:
+                s = T.shingles(T.words_of(text, lower=True), k)
+                rows.append((len(s), *set_key(s), s.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["n_shingles", "set_hi", "set_lo", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    wanted = T.durable(wanted)
+    ids = wanted.select("rep").distinct()
     few = wanted.count() <= MOST_SENT
-    return texts.join(F.broadcast(wanted) if few else wanted, "rep", "left_semi").mapInArrow(run, "rep long, shingles binary")
-
-
-def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, root) over class representatives."""
-    found = T.durable(entry_rows(classes))
-    shared = T.durable(found.groupBy("entry").agg(F.count("*").alias("n"), F.min("rep").alias("centre"), F.max("rep").alias("other")).where("n > 1"))
-    member = T.durable(found.join(shared.select("entry"), "entry"))
-    del found
-    T.release(docs.sparkSession)
-    sig = classes.select("rep", "sig")
-    root = None
-    tested = None
-    every = None
-    for turn in range(ROUNDS):
-        # One centre for each entry: the smallest, then others by a hash that changes with the turn.
-        if turn == 0:
-            centres = shared.select("entry", "centre")
-        else:
-            named = member.join(root, member["rep"] == root["node"], "left").select("entry", "rep", F.coalesce("root", "rep").alias("root"))
-            spread = named.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("rep", F.xxhash64("rep", F.lit(turn))).alias("centre")).where("lo <> hi")
-            centres = spread.select("entry", "centre")
-        pairs = member.join(centres, "entry").where("rep <> centre").groupBy("rep", "centre").agg(F.count("*").alias("n"))
+    made = texts.join(F.broadcast(ids) if few else ids, "rep", "left_semi").select("text").mapInArrow(run, "n_shingles long, set_hi long, set_lo long, shingles binary")
+    keys = wanted.select("cls", "n_shingles", "set_hi", "set_lo")
+    return made.join(F.broadcast(keys) if few else keys, ["n_shingles", "set_hi", "set_lo"]).select("cls", "shingles").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+
+
+def with_roots(rows: DataFrame, columns: list[str], root: DataFrame | None, few: bool) -> DataFrame:
+    for column in columns if root is not None else []:
+        rows = looked_up(rows, column, root, few)
+    return rows
+
+
+def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """(node, root) over the classes that are linked with another; None if none is."""
+    found = entry_rows(classes)
+    shared = found.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1").select("entry", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    member = T.durable(found.join(shared, "entry").select("entry", "cls", "blocks"))
+    root = tested = sets = None
+    few, most = True, FIRST
+
+    def between(pairs: DataFrame) -> DataFrame:
+        """Pairs whose ends are not of one component, and were not tested."""
+        pairs = with_roots(pairs.select("a", "b", "score", F.col("a").alias("ra"), F.col("b").alias("rb")), ["ra", "rb"], root, few).where("ra <> rb").select("a", "b", "score")
+        return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+
+    while True:
+        named = with_roots(member.withColumn("root", F.col("cls")), ["root"], root, few)
         if root is not None:
-            r1, r2 = root.select(F.col("node").alias("rep"), F.col("root").alias("r1")), root.select(F.col("node").alias("centre"), F.col("root").alias("r2"))
-            pairs = pairs.join(r1, "rep", "left").join(r2, "centre", "left").where(F.coalesce("r1", "rep") != F.coalesce("r2", "centre")).select("rep", "centre", "n")
-        # Of a class's centres, the one that shares most entries; the others keep their turn in the last step.
-        pairs = pairs.groupBy("rep").agg(F.max_by("centre", F.struct("n", F.xxhash64("centre"))).alias("centre"))
-        near = pairs.join(sig, "rep").join(sig.select(F.col("rep").alias("centre"), F.col("sig").alias("sig2")), "centre").where(apart(F.col("sig"), F.col("sig2")))
-        near = T.durable(near.select(F.col("rep").alias("a"), F.col("centre").alias("b")))
-        got = T.durable(confirmed(near, sets_of(docs, near.select(F.col("a").alias("rep")).union(near.select("b")).distinct(), k), percent))
-        every = got if every is None else T.durable(every.union(got))
-        new = got.count()
-        root = T.durable(components(every))
+            mixed = named.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("entry")
+            named = named.join(mixed, "entry")
+        rows = named.join(classes.select("cls", "n_shingles", "sig", "odd"), "cls")
+        # Part i of an entry meets part j once: a class goes to the blocks (i, *) and (*, i) of the triangle.
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.withColumns({"i": F.least("own", "with"), "j": F.greatest("own", "with")})
+        near = T.durable(candidates(rows, most, percent))
         T.release(docs.sparkSession)
-        if new == 0:
-            break
-    # What is left: classes of different components in one entry. Each pair of them is compared by signature.
-    named = member.join(root, member["rep"] == root["node"], "left").select("entry", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = named.groupBy("entry").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("entry", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = named.join(mixed, "entry").join(sig, "rep")
-    # Block i of an entry meets block j once: a class goes to the cells (i, *) and (*, i) of the triangle.
-    own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int")
-    rest = rest.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("entry", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "rep", "root", "sig")
-
-    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        sigs = np.stack([np.frombuffer(s, np.uint16) for s in pdf["sig"]])
-        reps, roots, own_ = pdf["rep"].to_numpy(), pdf["root"].to_numpy(), pdf["own"].to_numpy()
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = np.flatnonzero(own_ == i), np.flatnonzero(own_ == j)
-        a, b = [], []
-        for p in left:
-            near = right[(sigs[right] != sigs[p]).sum(1) <= RADIUS]
-            near = near[(roots[near] != roots[p]) & ((reps[near] > reps[p]) | (i != j))]
-            a.append(np.full(len(near), reps[p]))
-            b.append(reps[near])
-        a, b = np.concatenate(a or [[]]).astype(np.int64), np.concatenate(b or [[]]).astype(np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    near = T.durable(rest.groupBy("entry", "i", "j").applyInPandas(compared, "a long, b long").distinct())
-    if not near.isEmpty():
-        got = confirmed(near, sets_of(docs, near.select(F.col("a").alias("rep")).union(near.select("b")).distinct(), k), percent)
-        root = T.durable(components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(got)))
-    return root
+        more = not near.where("a < 0").isEmpty()
+        near = near.where("a >= 0")
+        if sets is None:
+            # Who has a partner at all has one in the first round, so these sets serve all rounds.
+            ends = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
+            sets = T.durable(sets_of(docs, T.durable(classes.drop("sig", "odd").join(ends, "cls", "left_semi")), k))
+        both = near.select("a", "b", "score").union(near.select(F.col("b"), F.col("a"), "score"))
+        best = both.groupBy("a").agg(F.min(F.struct("score", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b"), "m.score").distinct()
+        for pairs in (best, near):
+            asked = T.durable(between(pairs))
+            if asked.isEmpty():
+                continue
+            got = T.durable(confirmed(asked, sets, percent))
+            tested = T.durable(asked.select("a", "b") if tested is None else tested.union(asked.select("a", "b")))
+            if not got.isEmpty():
+                known = got if root is None else got.union(root.select(F.col("node").alias("a"), F.col("root").alias("b")))
+                root = T.durable(components(known))
+                few = root.count() <= FEW
+            T.release(docs.sparkSession)
+        if not more:
+            return root
+        most *= WIDER
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     signed = T.durable(signatures(docs, k))
-    full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = T.durable(full.groupBy("n_shingles", "set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    root = links(docs, T.durable(classes.dropDuplicates(["rep"])), k, percent)
-    named = classes.select("n_shingles", "set_hi", "set_lo", "rep").join(root.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("n_shingles", "set_hi", "set_lo", F.coalesce("root", "rep").alias("component_id"))
-    joined = signed.join(named, ["n_shingles", "set_hi", "set_lo"], "left")
+    key = ["n_shingles", "set_hi", "set_lo"]
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
+    # Numbers that stay as they are from here on: the table is written.
+    classes = T.durable(classes.withColumn("cls", F.monotonically_increasing_id()))
+    root = links(docs, classes, k, percent)
+    named = classes.select(*key, "rep", F.col("rep").alias("component_id"))
+    if root is not None:
+        linked = classes.select("cls", "rep").join(root, F.col("cls") == F.col("node")).select("cls", "root", "rep")
+        least = linked.groupBy("root").agg(F.min("rep").alias("least"))
+        placed = linked.join(least, "root").select("cls", "least")
+        named = classes.select("cls", *key, "rep").join(placed, "cls", "left").select(*key, "rep", F.coalesce("least", "rep").alias("component_id"))
+    joined = signed.select("doc_id", *key).join(named.drop("rep"), key, "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).otherwise(own).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -30,12 +31,21 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
 
 def durable(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the folder of spark.checkpoint.dir, which all executors share."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "sylva-checkpoints"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints: spark.checkpoint.dir, or, in local mode only, one of this machine's."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "sylva-checkpoints"))
+    return context.getCheckpointDir()
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffles and checkpoints that nothing refers to any more."""
     gc.collect()
