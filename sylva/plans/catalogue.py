@@ -313,17 +313,17 @@ def trees_by(method: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 # Merging by markers and growing crowns follow an order that SQL cannot say; tests/test_crowns.py holds them against brute force.
 @query(None)
 def trees_watershed(spark, sf_dir):
-    return trees_by("watershed", spark, sf_dir).drop("crown")
+    return crowns.table(trees_by("watershed", spark, sf_dir), 0.0, 200.0)
 
 
 @query(None)
 def trees_dalponte(spark, sf_dir):
-    return trees_by("dalponte", spark, sf_dir).drop("crown")
+    return crowns.table(trees_by("dalponte", spark, sf_dir), 0.0, 200.0)
 
 
 @query(None)
 def trees_silva(spark, sf_dir):
-    return trees_by("silva", spark, sf_dir).drop("crown")
+    return crowns.table(trees_by("silva", spark, sf_dir), 0.0, 200.0)
 
 
 @query(None)
