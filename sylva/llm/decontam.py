@@ -18,6 +18,7 @@ of an id give one result; null ids are results like others; of equal windows the
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,6 @@ from . import text as T
 
 BLOCKS, BLOCK_BITS, ERRORS = 8, 8, 2
 RADIUS = BLOCKS * ERRORS + BLOCKS - 1
-LANES = 0x0001000100010001
 #: Bits of the bitmap for each benchmark shingle, and its largest size; a fuller one lets more windows through, no fewer.
 BITS_EACH, MOST_BITS = 128, 1 << 23
 
@@ -49,12 +49,18 @@ def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def fingerprint(s: Column) -> Column:
-    """64 majority votes. Four 16-bit counters share a long; counts are of at most 65,535 shingles."""
-    counts = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda b: F.aggregate(s, F.lit(0).cast("long"), lambda n, h: n + shifted(h, b).bitwiseAND(F.lit(LANES))))
-    half = F.size(s)
-    bit = lambda c, b, lane: F.when(2 * shifted(c, F.lit(16 * lane)).bitwiseAND(F.lit(0xFFFF)) > half, left(F.lit(1).cast("long"), b + 16 * lane)).otherwise(F.lit(0).cast("long"))
-    each = F.transform(counts, lambda c, b: bit(c, b, 0).bitwiseOR(bit(c, b, 1)).bitwiseOR(bit(c, b, 2)).bitwiseOR(bit(c, b, 3)))
-    return F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    """64 majority votes. Four 16-bit counters share a long, or two 32-bit ones for more than 65,535 shingles."""
+    return F.when(F.size(s) <= 0xFFFF, voted(s, 4)).otherwise(voted(s, 2))
+
+
+def voted(s: Column, lanes: int) -> Column:
+    wide = 64 // lanes
+    ones = sum(1 << (wide * i) for i in range(lanes))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda b: F.aggregate(s, F.lit(0).cast("long"), lambda n, h: n + shifted(h, b).bitwiseAND(F.lit(ones))))
+    half, one, none = F.size(s), F.lit(1).cast("long"), F.lit(0).cast("long")
+    bit = lambda c, b, lane: F.when(2 * shifted(c, F.lit(wide * lane)).bitwiseAND(F.lit((1 << wide) - 1)) > half, left(one, b + wide * lane)).otherwise(none)
+    each = F.transform(counts, lambda c, b: functools.reduce(Column.bitwiseOR, [bit(c, b, lane) for lane in range(lanes)]))
+    return F.aggregate(each, none, lambda a, x: a.bitwiseOR(x))
 
 
 def shifted(value: Column, by: Column) -> Column:

@@ -16,7 +16,7 @@ to the first language in order; with nothing learnt all texts are 'und'; repeate
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from . import text as T
 
 MAX_ROWS, ORDER, KEPT_WORDS = 1000, 4, 400_000
-LETTER = re.compile(r"[^\W\d_]")
 
 
 class Trees:
@@ -85,6 +84,11 @@ class Trees:
         return np.add.reduceat(bits, np.r_[0, np.cumsum(sizes)[:-1]])
 
 
+def has_letter(text: str | None) -> bool:
+    """A character of a Unicode letter category; digits in circles, fractions and Roman numeral signs are none."""
+    return any(map(str.isalpha, text or ""))
+
+
 def code(gram: bytes) -> int:
     return int.from_bytes(gram, "big")
 
@@ -126,11 +130,13 @@ def fit(docs: DataFrame, usable: Column, max_rows: int = MAX_ROWS) -> Trees:
     return Trees(counts)
 
 
-_kept: dict[int, tuple[dict[bytes, int], list]] = {}
+_kept: dict[str, tuple[dict[bytes, int], list]] = {}
 
 
-def word_rows(trees: Trees, key: int, words: list[list[bytes]]) -> np.ndarray:
+def word_rows(trees: Trees, key: str, words: list[list[bytes]]) -> np.ndarray:
     """A row of code lengths for each word. A worker keeps those of KEPT_WORDS words."""
+    if key not in _kept:
+        _kept.clear()  # a worker outlives a query; an earlier model's words are of no use
     index, table = _kept.setdefault(key, ({}, [np.empty((0, len(trees.languages)))]))
     new = list({w for x in words for w in x if w not in index})
     more = {w: len(index) + i for i, w in enumerate(new)}
@@ -151,14 +157,14 @@ def predict(docs: DataFrame, trees: Trees) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
     T.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    key = shared.id if hasattr(shared, "id") else id(shared)
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for ids, texts in T.rows_of(batches, "doc_id", "text"):
             if not ids:
                 continue
-            und = np.array([not t or not LETTER.search(t) for t in texts]) | (not model.languages)
+            und = np.array([not has_letter(t) for t in texts]) | (not model.languages)
             words = [[] if u else pieces(t) for t, u in zip(texts, und, strict=True)]
             names, scores = ["und"] * len(ids), np.zeros(len(ids))
             sizes = np.array([len(w) for w in words])

@@ -1,19 +1,28 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two word-bigram models, of toxic and of ordinary texts, with absolute discounting. A bigram backs off to its class's
-continuation counts, and these to continuation counts that both classes share, so a rare expression is judged by what
-the classes have in common. A text's feature is the mean, over its words, of the difference of the two logarithms; a
-logistic curve, fitted on labelled texts that the counts did not see, turns it into a score.
+Two word-bigram models, of toxic and of ordinary texts, with absolute discounting and interpolated backoff:
 
-Labels come from at most MAX_ROWS labelled documents (the first in the order of a hash of the id): that bounds the
-models and what is broadcast. Every text is scored whole.
+    P_c(w | h) = (1 - b(h)) * (max(c_c(h, w) - D_c, 0) + t_c(h) * q(w | h)) / c_c(h)  +  b(h) * P_c(w)
+    P_c(w)     = (max(n_c(w) - E_c, 0) + share * N_c * P(w)) / N_c
+
+c counts the documents with a pair of words, t is what the discount D takes from the pairs of h, n a word's kinds of
+predecessors (Kneser-Ney's continuation counts) with the sum N. q, b and P come from the counts that both classes share: what
+a class's discount takes away goes to the shared pairs, then to the shared continuation counts, then to all words alike.
+So a rare expression is judged by what the classes have in common. Each class's absolute discounts D_c and E_c are those that
+give the same `share` of its counts to the shared ones; else a class's size alone would speak in every rare word. All sum to 1.
 
-Every word and every bigram of the counted documents is in the models, however rare. A bigram is expected to be divided
-between the classes as its history and its word are, so one that is too rare to depart from that says what its word says.
+A text's feature is the greatest difference of the two log-likelihoods, normalised by length, over its passages of `span`
+words (the whole text where it is shorter): a long text is as toxic as its most toxic passage. A logistic curve turns it
+into a score. share and span are those of SHARES and SPANS with the least log-loss on CURVE_FOLDS fifths of the labelled
+texts that may be learnt from; these fit the curve and take no part in the counts.
 
-Defined results: null and empty texts have no words and the feature 0; words outside the models count as one unknown
-word, alike in both classes; repeated rows are scored each; labels that are null or of unknown documents are not used, of several labels of an
-id the largest holds; without labels of both classes every score is 0.
+Labels come from at most MAX_ROWS labelled documents (the first in the order of a hash of the id): that bounds the
+models and what is broadcast. Every text is scored whole. Every word and every bigram of the counted documents is in the
+models, however rare.
+
+Defined results: null and empty texts have no words and the feature 0; what holds no character but punctuation is no word; words
+outside the models count as one unknown word, alike in both classes; repeated rows are scored each; labels that are null or
+of unknown documents are not used, of several labels of an id the largest holds; without labels of both classes every score is 0.
 """
 
 from __future__ import annotations
@@ -29,20 +38,25 @@ from pyspark.sql import functions as F
 from . import text as T
 
 MAX_ROWS = 12_000
-DISCOUNT, MARGIN, SLACK = 0.75, 3.0, 0.3
+DISCOUNT = 0.75
+SHARES, SPANS = (0.5, 0.8, 0.95, 0.99), (2, 4, 8, 32)
 #: Share of the labelled documents, in fifths, that fit the curve and not the counts.
 CURVE_FOLDS = 2
 
 
 def word_list(text: str | None) -> list[str]:
-    return [w.strip(".,;:!?\"'()") for w in text.lower().split()] if text else []
+    return [x for w in text.lower().split() if (x := w.strip(".,;:!?\"'()"))] if text else []
 
 
-def discounted(own: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    """Counts of a class against what the shared counts lead to expect: the departure is discounted by its own chance
-    size, MARGIN deviations and a share SLACK of what is expected, so that a rare expression falls back to the shared counts."""
-    gap = own - expected
-    return expected + np.sign(gap) * np.maximum(np.abs(gap) - MARGIN * np.sqrt(expected + 1) - SLACK * expected, 0)
+def discount_for(counts: np.ndarray, share: float) -> float:
+    """The absolute discount that takes this share of all counts away."""
+    kinds, times = np.unique(counts[counts > 0], return_counts=True)
+    low, high, total = 0.0, float(kinds.max(initial=0)), float((kinds * times).sum())
+    for _ in range(60):
+        middle = (low + high) / 2
+        kept = (np.maximum(kinds - middle, 0) * times).sum()
+        low, high = (middle, high) if total - kept < share * total else (low, middle)
+    return high
 
 
 class Model:
@@ -56,79 +70,102 @@ class Model:
         counts toxic and ordinary."""
         self.words, self.counts, self.codes, self.summed = words, counts, codes, summed
         self.size = len(words) + 2
-        self.curve = (0.0, -50.0)
+        self.share, self.span, self.curve = SHARES[0], SPANS[0], (0.0, -50.0)
         self.index: dict[str, int] | None = None
 
     def __getstate__(self) -> tuple:
         pack = lambda x, kind: zlib.compress(np.ascontiguousarray(x, kind).tobytes(), 1)
-        return zlib.compress("\n".join(self.words).encode(), 1), pack(self.counts, "<i4"), pack(np.diff(self.codes, prepend=0), "<i8"), pack(self.summed, "<i4"), self.curve
+        return zlib.compress("\n".join(self.words).encode(), 1), pack(self.counts, "<i4"), pack(np.diff(self.codes, prepend=0), "<i8"), pack(self.summed, "<i4"), self.share, self.span, self.curve
 
     def __setstate__(self, state: tuple) -> None:
         words, counts, codes, summed = map(zlib.decompress, state[:4])
         self.__init__(words.decode().split("\n") if words else [], np.frombuffer(counts, "<i4").reshape(-1, 5), np.cumsum(np.frombuffer(codes, "<i8")), np.frombuffer(summed, "<i4").reshape(-1, 2))
-        self.curve = state[4]
+        self.share, self.span, self.curve = state[4:]
 
-    def derive(self) -> None:
-        """The probabilities, where they are first needed."""
+    def derive(self, share: float) -> None:
+        """The probabilities of both classes for one share."""
         n, codes, counts = self.size, self.codes, self.counts.astype(float)
         continued, history, kinds = counts[:, :2], counts[:, 2:4], counts[:, 4]
-        # Continuation counts, backed off to those that the classes share.
-        total = continued.sum(0) + 1
-        self.lower = (discounted(continued, continued.sum(1)[:, None] * total / total.sum()) + 0.5 * total / total.sum()) / total
-        # Bigrams, the same way, against their history's and their word's shares; what discounting leaves goes to the
-        # continuation counts, alike in both classes.
+        shared = continued.sum(1)
+        total, own = max(shared.sum(), 1.0), np.maximum(continued.sum(0), 1.0)
+        least = np.maximum(shared - DISCOUNT, 0) / total
+        least += (1 - least.sum()) / n
+        taken = np.array([discount_for(continued[:, c], share) for c in (0, 1)])
+        kept = np.maximum(continued - taken, 0) / own
+        self.lower = kept + (1 - kept.sum(0)) * least[:, None]
         both = np.maximum(history.sum(1), 1)
-        share = (history + 1) / (both + 2)[:, None]
-        self.weight = np.where(kinds > 0, np.minimum(DISCOUNT * kinds / both, 1.0), 1.0)[:, None] * np.ones(2)
+        self.weight = np.where(kinds > 0, np.minimum(DISCOUNT * kinds / both, 1.0), 1.0)
         self.direct = np.empty((len(codes), 2))
-        for at in range(0, len(codes), 100_000):
-            code, own = codes[at : at + 100_000], self.summed[at : at + 100_000]
-            h = code // n
-            part = share[h] * self.lower[code % n]
-            part /= part.sum(1, keepdims=True)
-            self.direct[at : at + 100_000] = discounted(np.maximum(own - DISCOUNT * part, 0), np.maximum(own.sum(1) - DISCOUNT, 0)[:, None] * part) / (share[h] * both[h][:, None])
+        h = codes // n
+        for c in (0, 1):
+            kept = np.maximum(self.summed[:, c] - discount_for(self.summed[:, c], share), 0)
+            moved = history[:, c] - np.bincount(h, kept, n)
+            for at in range(0, len(codes), 200_000):
+                some, mine = h[at : at + 200_000], self.summed[at : at + 200_000]
+                pooled = (mine.sum(1) - DISCOUNT) / np.maximum(both - DISCOUNT * kinds, 1e-9)[some]
+                times = history[some, c]
+                direct = (kept[at : at + 200_000] + moved[some] * pooled) / np.maximum(times, 1)
+                self.direct[at : at + 200_000, c] = (1 - self.weight[some]) * np.where(times > 0, direct, pooled)
         self.index = {w: i + 2 for i, w in enumerate(self.words)}
+        self.derived = share
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """The mean log ratio of each text on a logarithmic scale: one expression in a long text still tells."""
-        if self.index is None:
-            self.derive()
-        get = self.index.get
-        lists = [word_list(t) for t in texts]
-        sizes = np.array([len(x) for x in lists])
-        ids = np.fromiter((get(w, 0) for x in lists for w in x), np.int64, int(sizes.sum()))
-        if not len(ids):
-            return np.zeros(len(texts))
+    def placed(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all words, and how many words each text has."""
+        get, lists = self.index.get, [word_list(t) for t in texts]
+        sizes = np.array([len(x) for x in lists], np.int64)
+        return np.fromiter((get(w, 0) for x in lists for w in x), np.int64, int(sizes.sum())), sizes
+
+    def probabilities(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of each word after the one before it, in both classes."""
         before = np.r_[1, ids[:-1]]
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        before[starts[sizes > 0]] = 1
-        p = self.weight[before] * self.lower[ids]
+        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 1
+        p = self.weight[before][:, None] * self.lower[ids]
         if len(self.codes):
             code = before * self.size + ids
             at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
             hit = self.codes[at] == code
             p[hit] += self.direct[at[hit]]
-        ratio = np.log(p[:, 0]) - np.log(p[:, 1])
-        sums = np.bincount(np.repeat(np.arange(len(texts)), sizes), ratio, len(texts))
-        mean = sums / np.maximum(sizes, 1)
-        return np.sign(mean) * np.log1p(1000 * np.abs(mean))
+        return p
+
+    def features(self, texts: list[str | None], share: float | None = None, spans: tuple[int, ...] | None = None) -> np.ndarray:
+        """(texts, spans): the greatest mean log ratio over the passages of span words."""
+        share, spans = self.share if share is None else share, spans or (self.span,)
+        if self.index is None or self.derived != share:
+            self.derive(share)
+        ids, sizes = self.placed(texts)
+        out = np.zeros((len(texts), len(spans)))
+        if not len(ids):
+            return out
+        p = self.probabilities(ids, sizes)
+        summed = np.r_[0.0, np.cumsum(np.log(p[:, 0]) - np.log(p[:, 1]))]
+        ends = np.cumsum(sizes)
+        starts, full = ends - sizes, sizes > 0
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        at = np.arange(len(ids))
+        for k, span in enumerate(spans):
+            # A passage from each word on; near the end of a text it is the last whole one, so that it counts again.
+            first = np.maximum(np.minimum(at, ends[owner] - span), starts[owner])
+            last = np.minimum(first + span, ends[owner])
+            out[full, k] = np.maximum.reduceat((summed[last] - summed[first]) / (last - first), starts[full])
+        return out
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         a, b = self.curve
         return 1 / (1 + np.exp(-np.clip(a * features + b, -500, 500)))
 
 
-def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on one feature by Newton steps, with a slight pull to 0."""
+def curve(x: np.ndarray, y: np.ndarray) -> tuple[tuple[float, float], float]:
+    """Logistic regression on one feature by Newton steps, with a slight pull to 0; and its log-loss."""
     scale = x.std() or 1.0
     z, beta = np.stack([x / scale, np.ones(len(x))], 1), np.zeros(2)
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (y - p) - 1e-2 * beta)
-        beta += step
+        beta += step * min(1.0, 4 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0] / scale), float(beta[1])
+    p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+    return (float(beta[0] / scale), float(beta[1])), float(-(np.log(np.where(y > 0, p, 1 - p))).mean())
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_ROWS) -> Model:
@@ -180,15 +217,22 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
     placed.destroy()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    tried = [(share, span) for share in SHARES for span in SPANS]
+
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for toxic, some in T.rows_of(batches, "toxic", "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(shared.value.features(some))], ["toxic", "x"])
+        parts = list(T.rows_of(batches, "toxic", "text"))  # MAX_ROWS texts in all
+        got = [[shared.value.features(some, share, SPANS) for _, some in parts] for share in SHARES]
+        for (toxic, _), *found in zip(parts, *got, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(np.hstack(found).tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
 
-    points = texts.where(F.col("fold") < CURVE_FOLDS).select("toxic", "text").mapInArrow(measured, "toxic int, x double").collect()
-    y, x = np.array([float(p.toxic > 0) for p in points]), np.array([p.x for p in points])
+    points = texts.where(F.col("fold") < CURVE_FOLDS).select("toxic", "text").mapInArrow(measured, "toxic int, x array<double>").orderBy("toxic", "x").collect()
     shared.destroy()
+    y = np.array([float(p.toxic > 0) for p in points])
     if len(set(y)) == 2:
-        model.curve = curve(x, y)
+        x = np.array([p.x for p in points])
+        fits = [curve(x[:, k], y) for k in range(len(tried))]
+        best = min(range(len(tried)), key=lambda k: (fits[k][1], k))
+        (model.share, model.span), model.curve = tried[best], fits[best][0]
     return model
 
 
@@ -201,7 +245,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            scores = shared.value.scores(shared.value.features(texts)) if texts else np.empty(0)
+            scores = shared.value.scores(shared.value.features(texts)[:, 0]) if texts else np.empty(0)
             yield batch.append_column("score", pa.array(scores))
 
     return plain.mapInArrow(run, plain.withColumn("score", F.lit(0.0)).schema)
