@@ -2,19 +2,19 @@
 
 Two word-bigram models, of toxic and of ordinary texts, with absolute discounting and interpolated backoff:
 
-    P_c(w | h) = (1 - b(h)) * (max(c_c(h, w) - D_c, 0) + t_c(h) * q(w | h)) / c_c(h)  +  b(h) * P_c(w)
-    P_c(w)     = (max(n_c(w) - E_c, 0) + share * N_c * P(w)) / N_c
+    P_c(w | h) = (max(c_c(h, w) - D_c, 0) + t_c(h) * P_c(w)) / c_c(h)
+    P_c(w)     = (max(n_c(w) - E_c, 0) + T_c * P(w)) / N_c
 
-c counts the documents with a pair of words, t is what the discount D takes from the pairs of h, n a word's kinds of
-predecessors (Kneser-Ney's continuation counts) with the sum N. q, b and P come from the counts that both classes share: what
-a class's discount takes away goes to the shared pairs, then to the shared continuation counts, then to all words alike.
-So a rare expression is judged by what the classes have in common. Each class's absolute discounts D_c and E_c are those that
-give the same `share` of its counts to the shared ones; else a class's size alone would speak in every rare word. All sum to 1.
+c counts the documents with a pair of words, n a word's kinds of predecessors (Kneser-Ney's continuation counts) with the sum
+N; t and T are what the discounts take away. P comes from the continuation counts that both classes share (discounted by
+DISCOUNT for all words alike): what a class's discount takes goes to them, so a rare expression is judged by what the
+classes have in common. The absolute discounts D and E hold for the class with fewer counts; the other class's are those
+that take the same share of its counts, else a class's size alone would speak in every rare word. All sum to 1.
 
 A text's feature is the greatest difference of the two log-likelihoods, normalised by length, over its passages of `span`
 words (the whole text where it is shorter): a long text is as toxic as its most toxic passage. A logistic curve turns it
-into a score. share and span are those of SHARES and SPANS with the least log-loss on CURVE_FOLDS fifths of the labelled
-texts that may be learnt from; these fit the curve and take no part in the counts.
+into a score. D, E and span are those of PAIR_DISCOUNTS, WORD_DISCOUNTS and SPANS with the least log-loss on CURVE_FOLDS fifths of
+the labelled texts that may be learnt from; these fit the curve and take no part in the counts.
 
 Labels come from at most MAX_ROWS labelled documents (the first in the order of a hash of the id): that bounds the
 models and what is broadcast. Every text is scored whole. Every word and every bigram of the counted documents is in the
@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from . import text as T
 
 MAX_ROWS = 12_000
+#: The discount of the shared counts; those of the classes and the passages' words that are tried.
 DISCOUNT = 0.75
-SHARES, SPANS = (0.5, 0.8, 0.95, 0.99), (2, 4, 8, 32)
+WORD_DISCOUNTS, PAIR_DISCOUNTS, SPANS = (2.0, 5.0, 12.0), (1.0, 4.0, 16.0), (1, 2, 4, 16)
 #: Share of the labelled documents, in fifths, that fit the curve and not the counts.
 CURVE_FOLDS = 2
 
@@ -48,15 +49,20 @@ def word_list(text: str | None) -> list[str]:
     return [x for w in text.lower().split() if (x := w.strip(".,;:!?\"'()"))] if text else []
 
 
-def discount_for(counts: np.ndarray, share: float) -> float:
-    """The absolute discount that takes this share of all counts away."""
-    kinds, times = np.unique(counts[counts > 0], return_counts=True)
-    low, high, total = 0.0, float(kinds.max(initial=0)), float((kinds * times).sum())
+def discounts(counts: np.ndarray, discount: float) -> np.ndarray:
+    """Of both classes (the columns): discount for the one with fewer counts, and what takes the same share of the other's."""
+    total = counts.sum(0)
+    if not total.min():
+        return np.array([discount, discount])
+    few = int(total[1] < total[0])
+    own, other = counts[:, few], counts[:, 1 - few]
+    share = np.minimum(own, discount).sum() / max(total[few], 1)
+    kinds, times = np.unique(other[other > 0], return_counts=True)
+    low, high = 0.0, float(kinds.max(initial=0))
     for _ in range(60):
         middle = (low + high) / 2
-        kept = (np.maximum(kinds - middle, 0) * times).sum()
-        low, high = (middle, high) if total - kept < share * total else (low, middle)
-    return high
+        low, high = (middle, high) if (np.minimum(kinds, middle) * times).sum() < share * total[1 - few] else (low, middle)
+    return np.array([high, discount] if few else [discount, high])
 
 
 class Model:
@@ -66,87 +72,84 @@ class Model:
 
     def __init__(self, words: list[str], counts: np.ndarray, codes: np.ndarray, summed: np.ndarray):
         """words: their places are from 2; counts by place: continuation counts toxic and ordinary, counts as a history
-        toxic and ordinary, kinds of next words; codes: history's place * size + word's place, ascending; summed: their
+        toxic and ordinary; codes: history's place * size + word's place, ascending; summed: their
         counts toxic and ordinary."""
         self.words, self.counts, self.codes, self.summed = words, counts, codes, summed
         self.size = len(words) + 2
-        self.share, self.span, self.curve = SHARES[0], SPANS[0], (0.0, -50.0)
+        self.chosen, self.curve = (WORD_DISCOUNTS[0], PAIR_DISCOUNTS[0], SPANS[0]), (0.0, -50.0)
         self.index: dict[str, int] | None = None
+        self.lower: dict[float, np.ndarray] = {}
+        self.direct: dict[float, tuple[np.ndarray, np.ndarray]] = {}
 
     def __getstate__(self) -> tuple:
         pack = lambda x, kind: zlib.compress(np.ascontiguousarray(x, kind).tobytes(), 1)
-        return zlib.compress("\n".join(self.words).encode(), 1), pack(self.counts, "<i4"), pack(np.diff(self.codes, prepend=0), "<i8"), pack(self.summed, "<i4"), self.share, self.span, self.curve
+        return zlib.compress("\n".join(self.words).encode(), 1), pack(self.counts, "<i4"), pack(np.diff(self.codes, prepend=0), "<i8"), pack(self.summed, "<i4"), self.chosen, self.curve
 
     def __setstate__(self, state: tuple) -> None:
         words, counts, codes, summed = map(zlib.decompress, state[:4])
-        self.__init__(words.decode().split("\n") if words else [], np.frombuffer(counts, "<i4").reshape(-1, 5), np.cumsum(np.frombuffer(codes, "<i8")), np.frombuffer(summed, "<i4").reshape(-1, 2))
-        self.share, self.span, self.curve = state[4:]
+        self.__init__(words.decode().split("\n") if words else [], np.frombuffer(counts, "<i4").reshape(-1, 4), np.cumsum(np.frombuffer(codes, "<i8")), np.frombuffer(summed, "<i4").reshape(-1, 2))
+        self.chosen, self.curve = state[4:]
 
-    def derive(self, share: float) -> None:
-        """The probabilities of both classes for one share."""
-        n, codes, counts = self.size, self.codes, self.counts.astype(float)
-        continued, history, kinds = counts[:, :2], counts[:, 2:4], counts[:, 4]
+    def words_given(self, discount: float) -> np.ndarray:
+        """P_c(w) of all words in both classes."""
+        continued = self.counts[:, :2].astype(float)
         shared = continued.sum(1)
         total, own = max(shared.sum(), 1.0), np.maximum(continued.sum(0), 1.0)
         least = np.maximum(shared - DISCOUNT, 0) / total
-        least += (1 - least.sum()) / n
-        taken = np.array([discount_for(continued[:, c], share) for c in (0, 1)])
-        kept = np.maximum(continued - taken, 0) / own
-        self.lower = kept + (1 - kept.sum(0)) * least[:, None]
-        both = np.maximum(history.sum(1), 1)
-        self.weight = np.where(kinds > 0, np.minimum(DISCOUNT * kinds / both, 1.0), 1.0)
-        self.direct = np.empty((len(codes), 2))
-        h = codes // n
-        for c in (0, 1):
-            kept = np.maximum(self.summed[:, c] - discount_for(self.summed[:, c], share), 0)
-            moved = history[:, c] - np.bincount(h, kept, n)
-            for at in range(0, len(codes), 200_000):
-                some, mine = h[at : at + 200_000], self.summed[at : at + 200_000]
-                pooled = (mine.sum(1) - DISCOUNT) / np.maximum(both - DISCOUNT * kinds, 1e-9)[some]
-                times = history[some, c]
-                direct = (kept[at : at + 200_000] + moved[some] * pooled) / np.maximum(times, 1)
-                self.direct[at : at + 200_000, c] = (1 - self.weight[some]) * np.where(times > 0, direct, pooled)
-        self.index = {w: i + 2 for i, w in enumerate(self.words)}
-        self.derived = share
+        least += (1 - least.sum()) / self.size
+        kept = np.maximum(continued - discounts(continued, discount), 0) / own
+        return kept + (1 - kept.sum(0)) * least[:, None]
+
+    def pairs_given(self, discount: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs' own part, and each history's part that goes to the words, in both classes."""
+        history, h = self.counts[:, 2:4], self.codes // self.size
+        kept = np.maximum(self.summed - discounts(self.summed, discount), 0)
+        held = np.stack([np.bincount(h, kept[:, c], self.size) for c in (0, 1)], 1)
+        back = np.where(history > 0, 1 - held / np.maximum(history, 1), 1.0)
+        return kept / np.maximum(history, 1)[h], back
 
     def placed(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The places of all words, and how many words each text has."""
+        if self.index is None:
+            self.index = {w: i + 2 for i, w in enumerate(self.words)}
         get, lists = self.index.get, [word_list(t) for t in texts]
         sizes = np.array([len(x) for x in lists], np.int64)
         return np.fromiter((get(w, 0) for x in lists for w in x), np.int64, int(sizes.sum())), sizes
 
-    def probabilities(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Of each word after the one before it, in both classes."""
+    def probabilities(self, ids: np.ndarray, sizes: np.ndarray, tried: list[tuple[float, float]]) -> Iterator[np.ndarray]:
+        """Of each word after the one before it, in both classes, for each pair of discounts."""
         before = np.r_[1, ids[:-1]]
         before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 1
-        p = self.weight[before][:, None] * self.lower[ids]
-        if len(self.codes):
-            code = before * self.size + ids
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            hit = self.codes[at] == code
-            p[hit] += self.direct[at[hit]]
-        return p
-
-    def features(self, texts: list[str | None], share: float | None = None, spans: tuple[int, ...] | None = None) -> np.ndarray:
-        """(texts, spans): the greatest mean log ratio over the passages of span words."""
-        share, spans = self.share if share is None else share, spans or (self.span,)
-        if self.index is None or self.derived != share:
-            self.derive(share)
+        code = before * self.size + ids
+        at = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
+        hit = np.flatnonzero(self.codes[at] == code) if len(self.codes) else np.empty(0, np.int64)
+        for word, pair in tried:
+            if word not in self.lower:
+                self.lower[word] = self.words_given(word)
+            if pair not in self.direct:
+                self.direct[pair] = self.pairs_given(pair)
+            own, back = self.direct[pair]
+            p = back[before] * self.lower[word][ids]
+            p[hit] += own[at[hit]]
+            yield p
+
+    def features(self, texts: list[str | None], tried: list[tuple[float, float]] | None = None, spans: tuple[int, ...] | None = None) -> np.ndarray:
+        """(texts, tried x spans): the greatest mean log ratio over the passages of span words."""
+        tried, spans = tried or [self.chosen[:2]], spans or self.chosen[2:]
         ids, sizes = self.placed(texts)
-        out = np.zeros((len(texts), len(spans)))
+        out = np.zeros((len(texts), len(tried) * len(spans)))
         if not len(ids):
             return out
-        p = self.probabilities(ids, sizes)
-        summed = np.r_[0.0, np.cumsum(np.log(p[:, 0]) - np.log(p[:, 1]))]
         ends = np.cumsum(sizes)
         starts, full = ends - sizes, sizes > 0
         owner = np.repeat(np.arange(len(texts)), sizes)
-        at = np.arange(len(ids))
-        for k, span in enumerate(spans):
-            # A passage from each word on; near the end of a text it is the last whole one, so that it counts again.
-            first = np.maximum(np.minimum(at, ends[owner] - span), starts[owner])
-            last = np.minimum(first + span, ends[owner])
-            out[full, k] = np.maximum.reduceat((summed[last] - summed[first]) / (last - first), starts[full])
+        # A passage from each word on; near the end of a text it is the last whole one, so that it counts again.
+        first = [np.maximum(np.minimum(np.arange(len(ids)), ends[owner] - span), starts[owner]) for span in spans]
+        last = [np.minimum(f + span, ends[owner]) for f, span in zip(first, spans, strict=True)]
+        for j, p in enumerate(self.probabilities(ids, sizes, tried)):
+            summed = np.r_[0.0, np.cumsum(np.log(p[:, 0]) - np.log(p[:, 1]))]
+            for k, (f, e) in enumerate(zip(first, last, strict=True)):
+                out[full, j * len(spans) + k] = np.maximum.reduceat((summed[e] - summed[f]) / (e - f), starts[full])
         return out
 
     def scores(self, features: np.ndarray) -> np.ndarray:
@@ -192,14 +195,14 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
 
     pairs = T.durable(texts.where(F.col("fold") >= CURVE_FOLDS).select("toxic", "text").mapInArrow(run, "a string, b string, t long, o long").groupBy("a", "b").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
     after = pairs.groupBy(F.col("b").alias("w")).agg(F.count_if(F.col("t") > 0).alias("ct"), F.count_if(F.col("o") > 0).alias("co"))
-    before = pairs.groupBy(F.col("a").alias("w")).agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"), F.count("*").alias("kinds"))
+    before = pairs.groupBy(F.col("a").alias("w")).agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"))
     words = after.join(before, "w", "full").fillna(0).orderBy("w").toArrow()
     # '' is the start, which no word follows.
     names = words.column("w").to_pylist()
     listed = [w for w in names if w]
     index = {w: i + 2 for i, w in enumerate(listed)}
-    counts = np.zeros((len(index) + 2, 5), np.int32)
-    counts[[index.get(w, 1) for w in names]] = np.stack([words.column(c).to_numpy() for c in ("ct", "co", "ht", "ho", "kinds")], 1)
+    counts = np.zeros((len(index) + 2, 4), np.int32)
+    counts[[index.get(w, 1) for w in names]] = np.stack([words.column(c).to_numpy() for c in ("ct", "co", "ht", "ho")], 1)
     del words, names
     placed = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -217,22 +220,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
     placed.destroy()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    tried = [(share, span) for share in SHARES for span in SPANS]
+    tried = [(word, pair) for word in WORD_DISCOUNTS for pair in PAIR_DISCOUNTS]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(T.rows_of(batches, "toxic", "text"))  # MAX_ROWS texts in all
-        got = [[shared.value.features(some, share, SPANS) for _, some in parts] for share in SHARES]
-        for (toxic, _), *found in zip(parts, *got, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(np.hstack(found).tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
+        for toxic, some in T.rows_of(batches, "toxic", "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(shared.value.features(some, tried, SPANS).tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
 
-    points = texts.where(F.col("fold") < CURVE_FOLDS).select("toxic", "text").mapInArrow(measured, "toxic int, x array<double>").orderBy("toxic", "x").collect()
+    points = texts.where(F.col("fold") < CURVE_FOLDS).select("toxic", "text").mapInArrow(measured, "toxic int, x array<double>").collect()  # max_rows rows at most
     shared.destroy()
     y = np.array([float(p.toxic > 0) for p in points])
     if len(set(y)) == 2:
         x = np.array([p.x for p in points])
-        fits = [curve(x[:, k], y) for k in range(len(tried))]
-        best = min(range(len(tried)), key=lambda k: (fits[k][1], k))
-        (model.share, model.span), model.curve = tried[best], fits[best][0]
+        fits = [curve(x[:, k], y) for k in range(x.shape[1])]
+        best = min(range(x.shape[1]), key=lambda k: (round(fits[k][1], 9), k))
+        model.chosen, model.curve = (*tried[best // len(SPANS)], SPANS[best % len(SPANS)]), fits[best][0]
     return model
 
 

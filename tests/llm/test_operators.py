@@ -277,46 +277,44 @@ def test_kneser_ney():
     pairs = {("", "a"): (2, 3), ("a", "b"): (3, 1), ("a", "c"): (0, 4), ("b", "a"): (1, 1), ("b", "c"): (2, 0), ("c", "a"): (1, 5), ("c", "d"): (1, 0)}
     words = ["a", "b", "c", "d"]
     n, index = 6, {"": 1} | {w: i + 2 for i, w in enumerate(words)}
-    counts = np.zeros((n, 5), int)
+    counts = np.zeros((n, 4), int)
     for (h, w), (t, o) in pairs.items():
         counts[index[w], :2] += [t > 0, o > 0]
-        counts[index[h], 2:] += [t, o, 1]
+        counts[index[h], 2:] += [t, o]
     codes = np.array(sorted(index[h] * n + index[w] for h, w in pairs))
     summed = np.array([pairs[(next(k for k, v in index.items() if v == c // n), next(k for k, v in index.items() if v == c % n))] for c in codes])
     model = toxicity.Model(words, counts, codes, summed)
-    model.derive(0.6)
+    model.placed([])
 
-    def taken(numbers):
-        low, high = 0.0, 9.0
+    def taken(numbers, other, discount):
+        """The discount of the one with fewer counts, and what takes the same share from the other."""
+        if sum(numbers) < sum(other) or (sum(numbers) == sum(other) and c == 0):
+            return discount
+        share, low, high = sum(min(discount, x) for x in other) / sum(other), 0.0, 9.0
         for _ in range(80):
             middle = (low + high) / 2
-            low, high = (middle, high) if sum(min(middle, x) for x in numbers) < 0.6 * sum(numbers) else (low, middle)
+            low, high = (middle, high) if sum(min(middle, x) for x in numbers) < share * sum(numbers) else (low, middle)
         return high
 
     for c in (0, 1):
         own = {w: sum(v[c] > 0 for (_, x), v in pairs.items() if x == w) for w in words}
-        cut = taken([v[c] for v in pairs.values()])
+        rest = {w: sum(v[1 - c] > 0 for (_, x), v in pairs.items() if x == w) for w in words}
+        cut = taken([v[c] for v in pairs.values()], [v[1 - c] for v in pairs.values()], 0.9)
         both = {w: sum(v[k] > 0 for (_, x), v in pairs.items() if x == w for k in (0, 1)) for w in words}
-        high = taken(own.values())
+        high = taken(list(own.values()), list(rest.values()), 0.6)
         total = sum(both.values())
         base = {w: max(both.get(w, 0) - 0.75, 0) / total + 0.75 * sum(x > 0 for x in both.values()) / total / n for w in [*words, "?", ""]}
-        lower = {w: max(own.get(w, 0) - high, 0) / sum(own.values()) + 0.6 * base[w] for w in base}
+        lower = {w: max(own.get(w, 0) - high, 0) / sum(own.values()) + sum(min(x, high) for x in own.values()) / sum(own.values()) * base[w] for w in base}
         for h in ["", *words]:
             after = {w: v for (x, w), v in pairs.items() if x == h}
             times, gone = sum(v[c] for v in after.values()), sum(min(v[c], cut) for v in after.values())
-            pooled, seen = {w: sum(v) for w, v in after.items()}, sum(sum(v) for v in after.values())
-            back = 0.75 * len(after) / seen if after else 1.0
-            want = {}
-            for w in base:
-                q = (pooled[w] - 0.75) / (seen - 0.75 * len(after)) if w in after else 0.0
-                direct = (max(after[w][c] - cut, 0) + gone * q) / times if times and w in after else (q if not times else 0.0)
-                want[w] = (1 - back) * direct + back * lower[w]
+            want = {w: (max(after[w][c] - cut, 0) / times if times and w in after else 0.0) + (gone / times if times else 1.0) * lower[w] for w in base}
             assert abs(sum(want.values()) - 1) < 1e-9
             ids = np.array([[index[h], index.get(w, 0)] for w in base]).ravel()
             if h:  # the second of each two words, after the first
-                got = model.probabilities(ids, np.full(len(base), 2))[1::2, c]
+                got = next(model.probabilities(ids, np.full(len(base), 2), [(0.6, 0.9)]))[1::2, c]
             else:
-                got = model.probabilities(ids[1::2], np.ones(len(base), int))[:, c]
+                got = next(model.probabilities(ids[1::2], np.ones(len(base), int), [(0.6, 0.9)]))[:, c]
             assert np.allclose(got, list(want.values())), (h, c)
 
 
