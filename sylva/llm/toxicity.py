@@ -103,10 +103,12 @@ class Model:
     def pairs_given(self, discount: float) -> tuple[np.ndarray, np.ndarray]:
         """The pairs' own part, and each history's part that goes to the words, in both classes."""
         history, h = self.counts[:, 2:4], self.codes // self.size
-        kept = np.maximum(self.summed - discounts(self.summed, discount), 0)
+        kept = np.maximum(self.summed - discounts(self.summed, discount).astype(np.float32), np.float32(0), dtype=np.float32)
         held = np.stack([np.bincount(h, kept[:, c], self.size) for c in (0, 1)], 1)
         back = np.where(history > 0, 1 - held / np.maximum(history, 1), 1.0)
-        return kept / np.maximum(history, 1)[h], back
+        for c in (0, 1):
+            kept[:, c] /= np.maximum(history[:, c], 1)[h]
+        return kept, back
 
     def placed(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The places of all words, and how many words each text has."""
@@ -127,7 +129,7 @@ class Model:
             if word not in self.lower:
                 self.lower[word] = self.words_given(word)
             if pair not in self.direct:
-                self.direct[pair] = self.pairs_given(pair)
+                self.direct = {pair: self.pairs_given(pair)}
             own, back = self.direct[pair]
             p = back[before] * self.lower[word][ids]
             p[hit] += own[at[hit]]
@@ -177,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(usable)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     chosen = F.broadcast(known.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5))))  # max_rows rows at most
-    texts = T.durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id"))
+    texts = T.durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").withColumn("row", F.monotonically_increasing_id()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -220,20 +222,25 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
     placed.destroy()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    tried = [(word, pair) for word in WORD_DISCOUNTS for pair in PAIR_DISCOUNTS]
+    unseen = texts.where(F.col("fold") < CURVE_FOLDS).select("row", "toxic", "text")
+    x, y = {}, {}
+    for pair in PAIR_DISCOUNTS:  # one after the other: a worker holds the pairs of one discount
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for toxic, some in T.rows_of(batches, "toxic", "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(shared.value.features(some, tried, SPANS).tolist(), pa.list_(pa.float64()))], ["toxic", "x"])
+        def measured(batches: Iterator[pa.RecordBatch], tried: list = [(word, pair) for word in WORD_DISCOUNTS]) -> Iterator[pa.RecordBatch]:  # noqa: B006
+            for row, toxic, some in T.rows_of(batches, "row", "toxic", "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(toxic, pa.int32()), pa.array(shared.value.features(some, tried, SPANS).tolist(), pa.list_(pa.float64()))], ["row", "toxic", "x"])
 
-    points = texts.where(F.col("fold") < CURVE_FOLDS).select("toxic", "text").mapInArrow(measured, "toxic int, x array<double>").collect()  # max_rows rows at most
+        for p in unseen.mapInArrow(measured, "row long, toxic int, x array<double>").collect():  # max_rows rows at most
+            x.setdefault(p.row, []).extend(p.x)
+            y[p.row] = float(p.toxic > 0)
     shared.destroy()
-    y = np.array([float(p.toxic > 0) for p in points])
-    if len(set(y)) == 2:
-        x = np.array([p.x for p in points])
-        fits = [curve(x[:, k], y) for k in range(x.shape[1])]
-        best = min(range(x.shape[1]), key=lambda k: (round(fits[k][1], 9), k))
-        model.chosen, model.curve = (*tried[best // len(SPANS)], SPANS[best % len(SPANS)]), fits[best][0]
+    if len(set(y.values())) == 2:
+        order = sorted(y)
+        points, truth = np.array([x[r] for r in order]), np.array([y[r] for r in order])
+        tried = [(word, pair, span) for pair in PAIR_DISCOUNTS for word in WORD_DISCOUNTS for span in SPANS]
+        fits = [curve(points[:, k], truth) for k in range(len(tried))]
+        best = min(range(len(tried)), key=lambda k: (round(fits[k][1], 9), k))
+        model.chosen, model.curve = tried[best], fits[best][0]
     return model
 
 
