@@ -25,8 +25,30 @@ def quadkey(x: Column, y: Column, zoom: int) -> Column:
 
 def degree_tile(lon: Column, lat: Column, step: int) -> Column:
     """Name of a tile by its south-west corner, as N03E006."""
-    s, w = F.floor(lat / step) * step, F.floor(lon / step) * step
-    return F.concat(F.when(s < 0, "S").otherwise("N"), F.lpad(F.abs(s).cast("string"), 2, "0"), F.when(w < 0, "W").otherwise("E"), F.lpad(F.abs(w).cast("string"), 3, "0"))
+    return tile_name(F.floor(lat / step) * step, F.floor(lon / step) * step)
+
+
+def tile_name(south: Column, west: Column) -> Column:
+    return F.concat(F.when(south < 0, "S").otherwise("N"), F.lpad(F.abs(south).cast("string"), 2, "0"), F.when(west < 0, "W").otherwise("E"), F.lpad(F.abs(west).cast("string"), 3, "0"))
+
+
+def degree_tiles(west: Column, south: Column, east: Column, north: Column, step: int, closed: bool = False) -> Column:
+    """Names of the tiles over a box, by rows from the south. A box that only touches a tile's lower edge from below does not reach
+    it, unless closed: then the tiles of both far corners count."""
+
+    def starts(low: Column, high: Column) -> Column:
+        first = (F.floor(low / step) * step).cast("int")
+        last = (F.floor(high / step) * step if closed else F.ceil(high / step) * step - step).cast("int")
+        return F.when(last >= first, F.sequence(first, last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(starts(south, north), lambda s: F.transform(starts(west, east), lambda w: tile_name(s, w))))
+
+
+def quadkeys(west: Column, south: Column, east: Column, north: Column, zoom: int) -> Column:
+    """Quadkeys of the tiles over a box, by rows from the north."""
+    (x0, y1), (x1, y0) = slippy(west, south, zoom), slippy(east, north, zoom)
+    span = lambda a, b: F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(span(y0, y1), lambda y: F.transform(span(x0, x1), lambda x: quadkey(x, y, zoom))))
 
 
 def utm_epsg(lon: Column, lat: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Columns of a raster that numbers its basins.
+WIDEST = 100_000
 #: North-west to south-east in row-major order.
 AROUND = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 
@@ -21,7 +23,7 @@ def mend(px: DataFrame) -> DataFrame:
     # A hole asks from its neighbours' side: every pixel tells its value to the 8 places around it.
     told = px.select(F.col("h").alias("nh"), F.explode(F.array(*[F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in AROUND])).alias("p")).select("p.r", "p.c", "nh")
     joined = told.join(px, ["r", "c"], "left")
-    stats = joined.groupBy("r", "c").agg(F.first("h").alias("h"), F.percentile("nh", F.lit(0.5)).alias("median"), F.count_if(F.col("nh") > F.col("h") + 1.5).alias("higher"), F.count("*").alias("n"))
+    stats = joined.groupBy("r", "c").agg(F.first("h").alias("h"), F.percentile("nh", F.lit(0.5)).alias("median"), F.count_if(F.col("nh") > F.col("h") + 1.5).alias("higher"), F.count("nh").alias("n"))
     pit = (F.col("higher") >= 6) & (F.col("median") - F.col("h") > 1.5)
     new = stats.where(pit | (F.col("h").isNull() & (F.col("n") >= 6))).select("r", "c", "median")
     return px.join(new, ["r", "c"], "full").select("r", "c", F.coalesce("median", "h").alias("h"))
@@ -47,17 +49,22 @@ def climb(px: DataFrame, durable=lambda df: df, most: int = 32) -> DataFrame:  #
 
 
 def passes(px: DataFrame, roots: DataFrame) -> DataFrame:
-    """Highest pass between each pair of touching basins: a, b (row * 100000 + column of the root), saddle."""
-    key = lambda r, c: (F.col(r).cast("long") * 100_000 + F.col(c)).alias("basin")
+    """Highest pass between each pair of touching basins: a, b (row * WIDEST + column of the root), saddle. A column beyond
+    WIDEST is an error, since two roots would share a number."""
+    widest = F.when(F.col("to_c").between(0, WIDEST - 1), F.col("to_c")).otherwise(F.raise_error(F.lit("a column outside 0 .. WIDEST - 1")).cast("long"))
+    key = lambda r, c: (F.col(r).cast("long") * WIDEST + widest).alias("basin")
     named = roots.select("r", "c", key("to_r", "to_c"))
     forward = neighbours(px, [(0, 1), (1, -1), (1, 0), (1, 1)])
     joined = forward.join(named, ["r", "c"]).join(named.select(F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("basin").alias("other")), ["nr", "nc"]).where("basin <> other")
     return joined.groupBy(F.least("basin", "other").alias("a"), F.greatest("basin", "other").alias("b")).agg(F.max(F.least("h", "nh")).alias("saddle"))
 
 
-def window_tops(px: DataFrame, window: float = 3.0, share: float = 0.0) -> DataFrame:
-    """Pixels that no pixel within max(window + share * h, 3) / 2 exceeds; equal ones are all tops."""
-    radius = int((window + share * 60) / 2) + 1
+def window_tops(px: DataFrame, window: float = 3.0, share: float = 0.0, highest: float | None = None) -> DataFrame:
+    """Pixels that no pixel within max(window + share * h, 3) / 2 exceeds; equal ones are all tops. highest: the greatest
+    height there is, read from the table where it is not told; it bounds the window."""
+    if highest is None:
+        highest = (px.agg(F.max("h")).first()[0] or 0.0) if share else 0.0
+    radius = int(max(window + share * highest, 3.0) / 2)
     offsets = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if (a, b) != (0, 0) and a * a + b * b <= radius * radius]
     reach = F.greatest(F.lit(window) + F.lit(share) * F.col("h"), F.lit(3.0)) / 2
     d2 = (F.col("nr") - F.col("r")) * (F.col("nr") - F.col("r")) + (F.col("nc") - F.col("c")) * (F.col("nc") - F.col("c"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -151,9 +154,15 @@ CLIMB = f"{STEEP}, walk AS (SELECT r, c, to_r, to_c FROM step UNION SELECT w.r,
 
 
 def durable(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Cuts lineage in the folder of spark.checkpoint.dir; in local mode only, in one of this machine's."""
+
     def cut(df: DataFrame) -> DataFrame:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sylva-checkpoints")
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            named = spark.conf.get("spark.checkpoint.dir", None)
+            if not named and not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir is not set: a folder that all executors share is needed")
+            context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "sylva-checkpoints"))
         return df.checkpoint()
 
     return cut
@@ -337,8 +346,11 @@ def crown_outlines(spark, sf_dir):
 
 
 def queries() -> dict:
+    from . import geometry, surfaces  # noqa: F401  they add theirs to Q
+
     return {name: f for name, (f, _) in Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {name: sql for name, (_, sql) in Q.items() if sql}
