@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, langid, lmscore, neardup, packing, sharding, substring, tokenout, tokens, topk, toxicity
-from .text import durable, fold, table
+from .text import durable, fold, shared_folder, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,11 +40,9 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the shards into the shared folder and reads every record back."""
-    durable(spark.range(1))  # sets the shared folder where none is set
-    out = f"{spark.sparkContext.getCheckpointDir()}/token-shards-{os.urandom(6).hex()}"
-    out = out if "://" in out else "file:" + out.removeprefix("file:") if out.startswith("file:/") else f"file://{out}"
-    out = out.replace("file:/", "file:///", 1) if out.startswith("file:/") and not out.startswith("file:///") else out
+    """Writes the shards into the shared folder and reads every record back. The shards stay there: they are the operator's output."""
+    at = f"{shared_folder(spark)}/token-shards-{os.urandom(6).hex()}"
+    out = at if "://" in at else "file://" + at.removeprefix("file:")
     manifest = durable(tokenout.write(table(spark, sf_dir, "documents"), out, 512, tokens.default_path(), "round-1"))
     return tokenout.read(spark, manifest, out)
 

@@ -1,16 +1,19 @@
 """Training-order materialisation: token sequences in a keyed random order, as fixed-stride binary shards.
 
-Each document is encoded whole, ended by end_id and cut into sequences of at most length ids. A sequence's number (its
-place in the scan) goes through a keyed Feistel permutation with cycle-walking; the permuted numbers, split into equal
-ranges, say its shard, and their order within the range its place there, so a global slot is the shard's first slot plus
-that place. One encoding and one shuffle suffice: slots become gapless from the shards' own record counts.
+Each document is encoded whole, ended by end_id and cut into sequences of at most length ids. A sequence's number is made of
+its document's id, a hash of its text and its piece, so it depends on the corpus alone, not on how it was scanned. The number
+goes through a keyed Feistel permutation with cycle-walking. The permuted numbers, split into equal ranges, say its
+shard, and their order within the range its place there; a global slot is the shard's first slot plus that place. So the
+order is a function of the key and the corpus, one encoding and one shuffle suffice, and slots become gapless from the
+shards' own record counts: a slot is the rank of the permuted number. Dense numbers, whose image would be the slot
+itself, need all sequences counted before the first is placed: a second copy of them on disk.
 
 A record is a header (doc_id int64, piece int32, count int32) and length ids, padded with pad_id; ids take two bytes when
 the vocabulary allows. Reading can resume at any slot by seeking to place * stride. Files get their names only when
 complete, so that a task run twice leaves the same file.
 
 Defined results: a null text is empty and gives one sequence, end_id alone; a null doc_id is stored as the least int64
-and read back as null; repeated rows are separate sequences; an empty table gives no shard.
+and read back as null; repeated rows of one id and text have one number and follow each other, alike; an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from . import tokens
 
 HEADER, HEADER_BYTES = "<qii", 16
 NO_ID = -(1 << 63)
-#: Text bytes of a shard.
-SHARD_BYTES = 24 << 20
+#: Text bytes of a shard; bits of a sequence's number.
+SHARD_BYTES, NUMBER_BITS = 24 << 20, 61
 
 
 def feistel(x: Column, bits: int, key: str, rounds: int = 4) -> Column:
@@ -64,24 +67,25 @@ def permuted(df: DataFrame, column: str, into: str, size: int, key: str) -> Data
 
 
 def sequences(docs: DataFrame, length: int, tokenizer: str, end_id: int, wide: bool) -> DataFrame:
-    """doc_id, piece, count, ids (binary)."""
+    """doc_id, text_key (a hash of the text), piece, count, ids (binary)."""
     T.bounded_batches(docs.sparkSession)
     end, width = np.array([end_id], "<u4").tobytes(), 4 if wide else 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = tokens.encoder(tokenizer)
-        for ids, texts in T.rows_of(batches, "doc_id", "text"):
-            out: tuple[list, ...] = ([], [], [], [])
-            for doc, text in zip(ids, texts, strict=True):
+        for ids, keys, texts in T.rows_of(batches, "doc_id", "text_key", "text"):
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for doc, text_key, text in zip(ids, keys, texts, strict=True):
                 data = np.frombuffer(code.encode(text) + end, "<u4").astype("<u4" if wide else "<u2").tobytes()
                 for k, at in enumerate(range(0, len(data), width * length)):
                     part = data[at : at + width * length]
-                    for column, value in zip(out, (doc, k, len(part) // width, part), strict=True):
+                    for column, value in zip(out, (doc, text_key, k, len(part) // width, part), strict=True):
                         column.append(value)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "piece", "count", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "text_key", "piece", "count", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, count int, ids binary")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, piece int, count int, ids binary")
 
 
 def write(docs: DataFrame, out: str, length: int, tokenizer: str, key: str, end_id: int = 0, pad_id: int = 0, vocabulary: int = 49_408, least_shards: int = 16) -> DataFrame:
@@ -89,14 +93,22 @@ def write(docs: DataFrame, out: str, length: int, tokenizer: str, key: str, end_
     wide = vocabulary > 1 << 16
     width = 4 if wide else 2
     stride = HEADER_BYTES + width * length
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string")).cast("long") + 16), F.lit(0))).first()[0]
-    shards = max(least_shards, -(-size // SHARD_BYTES))
-    rows = sequences(docs, length, tokenizer, end_id, wide)
-    # A sequence's number is its partition shifted by 33 bits plus its row there.
-    numbers = max(1, docs.rdd.getNumPartitions()) << 33
-    rows = permuted(rows.withColumn("n", F.monotonically_increasing_id()), "n", "place", numbers, key)
+    text, id_ = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    told = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long") + 16), F.lit(0)).alias("size"), F.coalesce(F.max(F.octet_length(text)), F.lit(0)).alias("longest"), F.min(id_).alias("low"), F.max(id_).alias("high")).first()
+    shards = max(least_shards, -(-told["size"] // SHARD_BYTES))
+    # Ids take the bits of their range (null follows the largest), pieces those of the longest text (a token has a byte at least), and
+    # the text's hash what is left of NUMBER_BITS.
+    low, span = (0, 1) if told["low"] is None else (told["low"], told["high"] - told["low"] + 2)
+    pieces = max(1, ((told["longest"] + 1) // length).bit_length())
+    spare = NUMBER_BITS - (span - 1).bit_length() - pieces
+    if spare < 0:
+        raise ValueError("ids are too far apart to number their sequences")
+    document = F.when(F.col("doc_id").isNull(), F.lit(span - 1)).otherwise(F.col("doc_id") - F.lit(low))
+    numbers = span << (spare + pieces)
+    rows = sequences(docs, length, tokenizer, end_id, wide).withColumn("n", F.shiftleft(document.cast("long"), spare + pieces).bitwiseOR(F.shiftleft(F.shiftrightunsigned("text_key", 64 - spare) if spare else F.lit(0).cast("long"), pieces)).bitwiseOR(F.col("piece").cast("long")))
+    rows = permuted(rows, "n", "place", numbers, key)
     rows = rows.withColumn("shard", F.least(F.floor(F.col("place") / F.lit(float(numbers)) * shards), F.lit(shards - 1)).cast("int"))
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("shard", "doc_id", "piece", "count", "ids")
+    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place", "ids").select("shard", "doc_id", "piece", "count", "ids")
     pad = np.array([pad_id], "<u4" if wide else "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

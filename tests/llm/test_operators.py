@@ -129,6 +129,15 @@ def test_token_output(spark, docs, rows, none, tmp_path):
     assert sorted(r.slot for r in got) == list(range(len(got)))
     assert sorted(r.slot for r in tokenout.read(spark, manifest, out, 100).collect()) == list(range(100, len(got)))
     assert tokenout.write(none, f"file://{tmp_path}/no", 64, path, "key").count() == 0
+    # The order is the corpus's and the key's alone: other partitions give the same slots, another key gives others.
+    order = lambda rows_: {r.slot: (r.doc_id, r.piece, r.ids_crc32) for r in rows_}
+    again = tokenout.write(docs.repartition(7, F.xxhash64("text")).withColumn("shard", F.lit(1)), f"file://{tmp_path}/again", 64, path, "key")
+    assert order(tokenout.read(spark, again, f"file://{tmp_path}/again").collect()) == order(got)
+    other = tokenout.write(docs, f"file://{tmp_path}/other", 64, path, "another")
+    assert order(tokenout.read(spark, other, f"file://{tmp_path}/other").collect()) != order(got)
+    ids = [r.doc_id for r in sorted(got, key=lambda r: r.slot) if r.doc_id is not None]
+    steps = [a < b for a, b in zip(ids, ids[1:], strict=False) if a != b]
+    assert 0.4 < sum(steps) / len(steps) < 0.6
 
 
 def test_permutation(spark):
@@ -139,7 +148,7 @@ def test_permutation(spark):
 
 def test_lm(docs, rows, none):
     got = lmscore.score(docs, fold("doc_id", 5) != 1).collect()
-    split_range = {(r.doc_id, r.n_tokens): (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lmscore.score(docs, fold("doc_id", 5) != 1, max_bytes=20_000).collect()}
+    split_range = {(r.doc_id, r.n_tokens): (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lmscore.score(docs, fold("doc_id", 5) != 1, max_bytes=20_000, group_bytes=40_000).collect()}
     train = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 5 != 1
     counts = Counter()
     for i, t, *_ in rows:
@@ -151,7 +160,24 @@ def test_lm(docs, rows, none):
         w = [*split((t or "").lower()), b"\n"]
         want[(i, train(i), len(w), sum(counts[x] > 0 for x in w), n, round(sum(np.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 6))] += 1
     assert Counter((r.doc_id, r.training, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score <= 0 for r in got)
+    assert all(r.score <= 0 for r in got) and len(split_range) == len({(r.doc_id, r.n_tokens) for r in got})
+    # The score is the bigram model's, but for what the filter quantises or says too often.
+    after = Counter()
+    for i, t, *_ in rows:
+        if train(i):
+            w = [b"\n", *split((t or "").lower()), b"\n"]
+            after.update(zip(w, w[1:], strict=False))
+    quantised = lambda c: 0 if not c else 1 if c == 1 else 1.5 * 2 ** (c.bit_length() - 1) - 0.5
+    exact = Counter()
+    for i, t, *_ in rows:
+        w = [b"\n", *split((t or "").lower()), b"\n"]
+        p = [(min(quantised(after[x]), counts[x[1]]) + lmscore.MASS * (counts[x[1]] + 0.5) / (n + 0.5 * (v + 1))) / (counts[x[0]] + lmscore.MASS) for x in zip(w, w[1:], strict=False)]
+        exact[(i, len(w) - 1, round(min(0.0, float(np.log10(p).sum())), 2))] += 1
+    near = sum((exact & Counter((r.doc_id, r.n_tokens, round(r.score, 2)) for r in got)).values())
+    assert near > 0.3 * len(rows)
+    for (i, size, x) in exact:
+        own = [r.score for r in got if (r.doc_id, r.n_tokens) == (i, size)]
+        assert any(x - 0.05 <= y <= x + 0.02 * abs(x) + 0.5 for y in own), (i, size, x, own)
     for r in got:  # filters differ with the ranges, by their false positives
         known, base, score = split_range[(r.doc_id, r.n_tokens)]
         assert (known, base) == (r.n_known, round(r.base_score, 6)) and abs(score - r.score) <= 0.02 * abs(r.score) + 0.5
