@@ -3,16 +3,16 @@
 A suffix is a position of the corpus's word sequence. All that matters of a suffix tree is whether a suffix lies below a
 node at depth `window`, and which suffix below that node comes first: such a node is a repeat of `window` words, and runs
 of them are the maximal repeats. So a suffix's prefix is taken at full depth at once, as a 64-bit fingerprint of `window`
-words; suffixes are dealt by a second fingerprint of that prefix to groups that fit in memory, and each group sorts its
+words; suffixes are dealt by an independent fingerprint of the same prefix to groups that fit in memory, and each group sorts its
 suffixes, which brings the leaves of each deep node together. A task sends a prefix on once only, with its first
 place; later places in the task are repeats already. So a prefix that fills a third of the corpus reaches a group as
 one entry from each task. Suffix positions travel packed in binary blocks, about 9 bytes each.
 
 Defined results: null and empty texts have no words; a null doc_id comes before all others; rows with the same doc_id
 and text are one document (each keeps the same words); rows with one doc_id and different texts are compared with each
-other by their starts alone; other columns are kept by `deduplicated` as they are. Fingerprints have 64 bits; the group
-follows from them and adds none, and no step compares the words, so that unequal prefixes are taken as equal with a chance
-of about pairs / 2 ** 64.
+other by their starts alone; other columns are kept by `deduplicated` as they are. No step compares the words: prefixes are
+taken as equal if they fall into one group and have one fingerprint, which unequal ones do with a chance of about
+pairs / (groups * 2 ** 64), and within one task's FLUSH_WORDS words with pairs / 2 ** 64.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from . import text as T
 #: Text bytes whose suffixes make a group.
 GROUP_BYTES = 27 << 20
 NO_ID = -(1 << 63)
+#: Sets the words' hashes of the second fingerprint apart from those of the first.
+SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 BLOCK = "grp int, docs binary, bounds binary, keys binary, places binary, doc_id long, text_key long, starts binary"
 
 
@@ -44,14 +46,15 @@ def blocks(docs: DataFrame, window: int, groups: int) -> DataFrame:
         bounds = np.r_[0, np.cumsum([len(p) for p in parts])]
         words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         keys = T.grams(words, window)
+        other = T.grams(T.mixed(words ^ SECOND), window) >> np.uint64(33)
         at = np.arange(len(keys))
         owner = np.searchsorted(bounds, at, "right") - 1
         inside = at + window <= bounds[owner + 1]
-        keys, at, owner = keys[inside], at[inside], owner[inside]
+        keys, other, at, owner = keys[inside], other[inside], at[inside], owner[inside]
         docs_, texts = (np.array([x[k] for x in ids], np.int64) for k in (0, 1))
         start = at - bounds[owner]
         order = np.lexsort((start, docs_[owner], keys))
-        keys, at, owner, start = keys[order], at[order], owner[order], start[order]
+        keys, other, at, owner, start = keys[order], other[order], at[order], owner[order], start[order]
         first = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.empty(0, bool)
         # Repeats within the task: places after the first, unless the very same document is given twice.
         lead = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0)) if len(keys) else first
@@ -60,7 +63,7 @@ def blocks(docs: DataFrame, window: int, groups: int) -> DataFrame:
         # Rows of one doc_id with other texts tie with the first place: they go on too.
         sent = first | ~late
         keys, at = keys[sent], at[sent]
-        group = (T.mixed(keys ^ T.MIX) >> np.uint64(33)).astype(np.int64) % groups
+        group = other[sent].astype(np.int64) % groups
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(groups + 1))
         for g in range(groups):
@@ -172,7 +175,9 @@ def kept(words: list[bytes], starts: list[bytes] | None, window: int) -> list[by
 
 def marked(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, text_key, starts: a row per document that has repeats, all its blocks in a list."""
-    return T.durable(repeats(keyed(docs), window)).groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("starts"))
+    found = T.durable(repeats(keyed(docs), window))
+    T.release(docs.sparkSession)  # the suffixes' shuffle is not needed any more
+    return found.groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("starts"))
 
 
 def digest(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -203,6 +208,6 @@ def deduplicated(docs: DataFrame, window: int) -> DataFrame:
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)).drop_columns(["__starts"])
 
     repeats_ = marked(docs, window).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), F.col("starts").alias("__starts"))
-    own = docs.withColumns({"text": F.col("text").cast("string"), "__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__k": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    joined = own.join(repeats_, (F.col("__d") == F.col("__doc")) & (F.col("__k") == F.col("__key")), "left").select(*docs.columns, "__starts")
+    own = docs.withColumns({"text": F.col("text").cast("string"), "__own_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__own_key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    joined = own.join(repeats_, (F.col("__own_doc") == F.col("__doc")) & (F.col("__own_key") == F.col("__key")), "left").select(*docs.columns, "__starts")
     return joined.mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
