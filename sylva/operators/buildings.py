@@ -38,7 +38,7 @@ def field_value(row_tags: Column, *names: tuple[str, bool]) -> Column:
 
 def year(text: Column) -> Column:
     """A year of 1800 to 2200, or that of an ISO date; anything else is an error. Null stays null."""
-    plain = F.when(text.rlike(r"^[0-9]{4}$") & text.cast("int").between(1800, 2200), text.cast("int"))
+    plain = F.when(text.rlike(r"^[0-9]{4}$") & text.try_cast("int").between(1800, 2200), text.try_cast("int"))
     dated = F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.year(F.try_to_date(text, "yyyy-MM-dd")))
     return F.coalesce(plain, dated, F.when(text.isNotNull(), F.raise_error(F.concat(F.lit("neither a year nor a date: "), text)).cast("int")))
 

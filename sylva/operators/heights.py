@@ -29,6 +29,15 @@ def calibrate(meta: Column, eth: Column) -> dict[str, Column]:
     return {"mc": mc, "ec": ec, "weight": weight, "height": height, "matched": curves.lookup(meta, curves.MATCHED)}
 
 
+def applied(cells: DataFrame, recent: bool = False) -> DataFrame:
+    """cells (cell_id, top, eth_m, and meta_date where recent) with the calibrated readings; recent takes the later map where the
+    years differ, and without dates is an error."""
+    if recent and "meta_date" not in cells.columns:
+        raise ValueError("recent needs image dates (meta_date)")
+    out = cells.withColumns(calibrate(F.col("top"), F.col("eth_m")))
+    return most_recent(out) if recent else out
+
+
 def most_recent(cells: DataFrame) -> DataFrame:
     """Where both maps have a value and the image year is known and not 2020, the later image alone counts."""
     year = F.floor(F.col("meta_date") / 10000)
