@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lmscore, neardup, packing, sharding, substring, tokenout, tokens, topk, toxicity
+from . import decontam, langid, lmscore, neardup, packing, sharding, sql, substring, tokenout, tokens, topk, toxicity
 from .text import durable, fold, shared_folder, table
 
 
@@ -66,4 +66,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLE)
