@@ -76,7 +76,7 @@ def point_density(spark, sf_dir):
 
 
 COARSE = "coarse AS (SELECT CAST(floor(cell_id/across) AS INT) AS r, CAST(cell_id % across AS INT) AS c, CASE WHEN eth_m > 45 THEN 255 ELSE eth_m END AS h FROM eth_cells CROSS JOIN area)"
-AT = "spots AS (SELECT ref_id AS id, x/10 AS x, y/10 AS y FROM ref_trees)"
+SPOTS = "spots AS (SELECT ref_id AS id, x/10 AS x, y/10 AS y FROM ref_trees)"
 
 
 def bilinear_sql(source: str, where: str = "true") -> str:
@@ -84,7 +84,7 @@ def bilinear_sql(source: str, where: str = "true") -> str:
 FROM spots CROSS JOIN (VALUES (0,0),(0,1),(1,0),(1,1)) AS k(a, b)) JOIN {source} USING (r, c) WHERE w > 0 AND h <> 255 AND {where} GROUP BY id"""
 
 
-@query(f"WITH {COARSE}, {AT}, one AS ({bilinear_sql('coarse', 'c < 12')}), two AS ({bilinear_sql('coarse', 'c >= 10')}) SELECT id, round(coalesce(two.h, one.h), 6) AS h FROM spots LEFT JOIN one USING (id) LEFT JOIN two USING (id)")
+@query(f"WITH {COARSE}, {SPOTS}, one AS ({bilinear_sql('coarse', 'c < 12')}), two AS ({bilinear_sql('coarse', 'c >= 10')}) SELECT id, round(coalesce(two.h, one.h), 6) AS h FROM spots LEFT JOIN one USING (id) LEFT JOIN two USING (id)")
 def overlaid_maps(spark, sf_dir):
     across = view(spark, sf_dir, "area").select("across")
     coarse = view(spark, sf_dir, "eth_cells").join(F.broadcast(across)).select(F.floor(F.col("cell_id") / F.col("across")).cast("int").alias("r"), (F.col("cell_id") % F.col("across")).cast("int").alias("c"), F.when(F.col("eth_m") > 45, 255.0).otherwise(F.col("eth_m")).alias("h"))  # one row
