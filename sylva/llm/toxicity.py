@@ -70,24 +70,23 @@ class Model:
 
     Only counts are sent to the workers, compressed: there are millions of bigrams, most of them of one document."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, codes: np.ndarray, summed: np.ndarray):
-        """words: their places are from 2; counts by place: continuation counts toxic and ordinary, counts as a history
-        toxic and ordinary; codes: history's place * size + word's place, ascending; summed: their
-        counts toxic and ordinary."""
+    def __init__(self, words: bytes, counts: np.ndarray, codes: np.ndarray, summed: np.ndarray):
+        """words: a line each, their places are from 2; counts by place: continuation counts toxic and ordinary, counts as a
+        history toxic and ordinary; codes: history's place * size + word's place, ascending; summed: their counts toxic and ordinary."""
         self.words, self.counts, self.codes, self.summed = words, counts, codes, summed
-        self.size = len(words) + 2
+        self.size = len(counts)
         self.chosen, self.curve = (WORD_DISCOUNTS[0], PAIR_DISCOUNTS[0], SPANS[0]), (0.0, -50.0)
         self.index: dict[str, int] | None = None
         self.lower: dict[float, np.ndarray] = {}
         self.direct: dict[float, tuple[np.ndarray, np.ndarray]] = {}
 
     def __getstate__(self) -> tuple:
-        pack = lambda x, kind: zlib.compress(np.ascontiguousarray(x, kind).tobytes(), 1)
-        return zlib.compress("\n".join(self.words).encode(), 1), pack(self.counts, "<i4"), pack(np.diff(self.codes, prepend=0), "<i8"), pack(self.summed, "<i4"), self.chosen, self.curve
+        pack = lambda x, kind: zlib.compress(np.ascontiguousarray(x, kind), 1)
+        return zlib.compress(self.words, 1), pack(self.counts, "<i4"), pack(np.diff(self.codes, prepend=0), "<i8"), pack(self.summed, "<i4"), self.chosen, self.curve
 
     def __setstate__(self, state: tuple) -> None:
         words, counts, codes, summed = map(zlib.decompress, state[:4])
-        self.__init__(words.decode().split("\n") if words else [], np.frombuffer(counts, "<i4").reshape(-1, 4), np.cumsum(np.frombuffer(codes, "<i8")), np.frombuffer(summed, "<i4").reshape(-1, 2))
+        self.__init__(words, np.frombuffer(counts, "<i4").reshape(-1, 4), np.cumsum(np.frombuffer(codes, "<i8")), np.frombuffer(summed, "<i4").reshape(-1, 2))
         self.chosen, self.curve = state[4:]
 
     def words_given(self, discount: float) -> np.ndarray:
@@ -102,18 +101,19 @@ class Model:
 
     def pairs_given(self, discount: float) -> tuple[np.ndarray, np.ndarray]:
         """The pairs' own part, and each history's part that goes to the words, in both classes."""
-        history, h = self.counts[:, 2:4], self.codes // self.size
-        kept = np.maximum(self.summed - discounts(self.summed, discount).astype(np.float32), np.float32(0), dtype=np.float32)
-        held = np.stack([np.bincount(h, kept[:, c], self.size) for c in (0, 1)], 1)
-        back = np.where(history > 0, 1 - held / np.maximum(history, 1), 1.0)
-        for c in (0, 1):
-            kept[:, c] /= np.maximum(history[:, c], 1)[h]
-        return kept, back
+        history, taken = np.maximum(self.counts[:, 2:4], 1), discounts(self.summed, discount)
+        kept, held = np.empty(self.summed.shape, np.float32), np.zeros((self.size, 2))
+        for at in range(0, len(kept), 200_000):
+            some, h = np.maximum(self.summed[at : at + 200_000] - taken, 0), self.codes[at : at + 200_000] // self.size
+            kept[at : at + 200_000] = some / history[h]
+            for c in (0, 1):
+                held[:, c] += np.bincount(h, some[:, c], self.size)
+        return kept, np.where(self.counts[:, 2:4] > 0, 1 - held / history, 1.0)
 
     def placed(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The places of all words, and how many words each text has."""
         if self.index is None:
-            self.index = {w: i + 2 for i, w in enumerate(self.words)}
+            self.index = {w: i + 2 for i, w in enumerate(self.words.decode().split("\n"))} if self.words else {}
         get, lists = self.index.get, [word_list(t) for t in texts]
         sizes = np.array([len(x) for x in lists], np.int64)
         return np.fromiter((get(w, 0) for x in lists for w in x), np.int64, int(sizes.sum())), sizes
@@ -199,27 +199,30 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
     after = pairs.groupBy(F.col("b").alias("w")).agg(F.count_if(F.col("t") > 0).alias("ct"), F.count_if(F.col("o") > 0).alias("co"))
     before = pairs.groupBy(F.col("a").alias("w")).agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"))
     words = after.join(before, "w", "full").fillna(0).orderBy("w").toArrow()
-    # '' is the start, which no word follows.
-    names = words.column("w").to_pylist()
-    listed = [w for w in names if w]
-    index = {w: i + 2 for i, w in enumerate(listed)}
-    counts = np.zeros((len(index) + 2, 4), np.int32)
-    counts[[index.get(w, 1) for w in names]] = np.stack([words.column(c).to_numpy() for c in ("ct", "co", "ht", "ho")], 1)
-    del words, names
-    placed = docs.sparkSession.sparkContext.broadcast(index)
+    # '' is the start, which no word follows; it comes first. Words stay in Arrow here: lists and maps of them are made by workers.
+    start = int(len(words) > 0 and words.column("w")[0].as_py() == "")
+    listed = words.column("w").slice(start).combine_chunks()
+    counts = np.zeros((len(listed) + 2, 4), np.int32)
+    rows = np.stack([words.column(c).to_numpy() for c in ("ct", "co", "ht", "ho")], 1)
+    counts[1 : 1 + start], counts[2:] = rows[:start], rows[start:]
+    del words, rows
+    placed = docs.sparkSession.sparkContext.broadcast(listed)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = placed.value
+        place = {w: i + 2 for i, w in enumerate(placed.value.to_pylist())}
         for a, b, t, o in T.rows_of(batches, "a", "b", "t", "o"):
             codes = [place.get(h, 1) * (len(place) + 2) + place[w] for h, w in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in ((codes, pa.int64()), (t, pa.int32()), (o, pa.int32()))], ["code", "t", "o"])
 
     known = pairs.where("b <> ''").mapInArrow(coded, "code long, t int, o int").toArrow()
     codes, summed = known.column("code").to_numpy(), np.stack([known.column(c).to_numpy() for c in ("t", "o")], 1)
+    del known
     order = np.argsort(codes)
-    model = Model(listed, counts, codes[order], summed[order])
-    del known, codes, summed, order, index
+    model = Model("\n".join(listed.to_pylist()).encode(), counts, codes[order], summed[order])
+    del codes, summed, order, listed
+    pa.default_memory_pool().release_unused()
     placed.destroy()
+    T.release(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     unseen = texts.where(F.col("fold") < CURVE_FOLDS).select("row", "toxic", "text")

@@ -309,7 +309,7 @@ def test_kneser_ney():
         counts[index[h], 2:] += [t, o]
     codes = np.array(sorted(index[h] * n + index[w] for h, w in pairs))
     summed = np.array([pairs[(next(k for k, v in index.items() if v == c // n), next(k for k, v in index.items() if v == c % n))] for c in codes])
-    model = toxicity.Model(words, counts, codes, summed)
+    model = toxicity.Model("\n".join(words).encode(), counts, codes, summed)
     model.placed([])
 
     def taken(numbers, other, discount):
