@@ -192,6 +192,17 @@ def test_sharding(docs, rows, none):
         slots[r.shard].append(r.slot)
         assert r.grown_shard in (r.shard, 40) and 0 <= r.shard < 40
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+    def drawn(key, nodes, name="t"):
+        """The child of the least draw, level by level."""
+        weight = lambda x: sum(map(weight, x.values())) if isinstance(x, dict) else x
+        draw = lambda c: -np.log((int(hashlib.md5(f"{key}/{name}/{c}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13) / weight(nodes[c])
+        best = min(nodes, key=lambda c: (draw(c), c))
+        return drawn(key, nodes[best], f"{name}/{best}") if isinstance(nodes[best], dict) else best
+
+    for r in got:
+        key = "none" if r.doc_id is None else r.doc_id
+        assert (r.shard, r.grown_shard) == (drawn(key, sharding.tree(40)), drawn(key, sharding.tree(41)))
     assert sharding.shard(none, sharding.tree(40), sharding.tree(41)).count() == 0
 
 
