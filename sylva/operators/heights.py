@@ -29,6 +29,16 @@ def calibrate(meta: Column, eth: Column) -> dict[str, Column]:
     return {"mc": mc, "ec": ec, "weight": weight, "height": height, "matched": curves.lookup(meta, curves.MATCHED)}
 
 
+def cells_of_sources(pixels: DataFrame, cell: float = 10.0) -> DataFrame:
+    """As cell_top_and_mean over several sources (source, its place in order; pixel, its pixel's size): a cell expects as many pixels as
+    the last source has in one, and needs half of them; the others add theirs."""
+    expected = pixels.agg(F.pow(F.lit(cell) / F.abs(F.max_by("pixel", "source")), 2).alias("expected"))
+    v = F.greatest(F.col("v"), F.lit(0.0))
+    cells = pixels.where((F.col("v") > -1) & (F.col("v") < 150)).groupBy("cell_id").agg(F.max(v).alias("top"), F.avg(v).alias("mean"), F.count("*").alias("n")).join(F.broadcast(expected))  # one row
+    enough = (F.col("n") >= 0.5 * F.col("expected")) & (F.col("n") > 0)
+    return cells.select("cell_id", F.when(enough, F.col("top")).alias("top"), F.when(enough, F.col("mean")).alias("mean"), "n")
+
+
 def applied(cells: DataFrame, recent: bool = False) -> DataFrame:
     """cells (cell_id, top, eth_m, and meta_date where recent) with the calibrated readings; recent takes the later map where the
     years differ, and without dates is an error."""

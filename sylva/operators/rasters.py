@@ -48,6 +48,15 @@ def climb(px: DataFrame, durable=lambda df: df, most: int = 32) -> DataFrame:  #
     return to
 
 
+def plateaus(roots: DataFrame, durable=lambda df: df) -> DataFrame:  # noqa: ANN001
+    """roots (r, c, to_r, to_c) where tops that touch, and so are equally high, are one: its first pixel in row-major order."""
+    from .regions import components
+
+    tops = roots.select(F.col("to_r").alias("r"), F.col("to_c").alias("c")).distinct()
+    named = components(tops, durable, corners=True).select(F.col("r").alias("to_r"), F.col("c").alias("to_c"), "root")
+    return roots.join(named, ["to_r", "to_c"]).select("r", "c", F.col("root.r").alias("to_r"), F.col("root.c").alias("to_c"))
+
+
 def passes(px: DataFrame, roots: DataFrame) -> DataFrame:
     """Highest pass between each pair of touching basins: a, b (row * WIDEST + column of the root), saddle. A column beyond
     WIDEST is an error, since two roots would share a number."""

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import curves, projection, tiles
-from ..operators import heights, overlays, polygons, reports, regions
+from ..operators import heights, overlays, polygons, rasters, regions, reports
 from ..sources import footprints as footprint_files
 from ..sources import geojson, tables
 from ..sources.views import view
-from .catalogue import CELLS, ERROR, EXPECTED, PLACED, PROVENANCE, cells, durable, query, rounded
+from .catalogue import CELLS, CLIMB, ERROR, EXPECTED, PLACED, PROVENANCE, cells, durable, query, rounded
 from .geometry import outlined
 
 BOXES = PLACED + ", boxes AS (SELECT id, lon AS w, lat AS s, least(lon + 0.3e0*(id % 17), 179) AS e, lat + 0.2e0*(id % 13) AS n FROM placed)"
@@ -294,3 +294,21 @@ def adjusted_stems(spark, sf_dir):
     trees = view(spark, sf_dir, "found_trees").select("tree_id", F.col("x").alias("stem_x"), F.col("y").alias("stem_y"), F.col("x").alias("top_x"), F.col("y").alias("top_y"), "height_m", F.lit(0.0).alias("trunk_from_top_m"), F.lit(8.0).alias("slope_deg"), F.lit(10.0).alias("ground_m"), (F.col("tree_id") % 3 == 0).alias("moved"))
     out = polygons.adjusted(trees, F.col("moved"), F.col("stem_x") + 3, F.col("stem_y") + 4, F.lit(12.0))
     return out.drop("top_x", "top_y").withColumn("trunk_from_top_m", F.round("trunk_from_top_m", 9))
+
+
+@query("SELECT cell_id, CASE WHEN count(*) >= 8 THEN max(greatest(v, 0)) END AS top, round(CASE WHEN count(*) >= 8 THEN avg(greatest(v, 0)) END, 6) AS mean, count(*) AS n FROM (SELECT cell_id, v FROM fine_px UNION ALL SELECT cell_id, v - 12 FROM fine_px WHERE c % 3 = 0) WHERE v > -1 AND v < 150 GROUP BY cell_id")
+def cells_of_sources(spark, sf_dir):
+    px = view(spark, sf_dir, "fine_px")
+    both = px.select("cell_id", "v", F.lit(0).alias("source"), F.lit(1.0).alias("pixel")).unionByName(px.where("c % 3 = 0").select("cell_id", (F.col("v") - 12).alias("v"), F.lit(1).alias("source"), F.lit(-2.5).alias("pixel")))
+    return rounded(heights.cells_of_sources(both), "mean")
+
+
+PLATEAU = CLIMB.replace("FROM canopy a", "FROM low a").replace(", canopy b WHERE", ", low b WHERE").replace("FROM canopy LEFT", "FROM low LEFT")
+
+
+@query(f"""WITH RECURSIVE low AS (SELECT r, c, floor(h/12) AS h FROM canopy WHERE r < 40 AND c < 40), {PLATEAU}, tops AS (SELECT DISTINCT to_r AS r, to_c AS c FROM roots),
+meet AS (SELECT r, c, r AS tr, c AS tc FROM tops UNION SELECT m.r, m.c, t.r, t.c FROM meet m JOIN tops t ON abs(t.r - m.tr) <= 1 AND abs(t.c - m.tc) <= 1), named AS (SELECT r, c, min((tr, tc)) AS root FROM meet GROUP BY r, c)
+SELECT DISTINCT w.r, w.c, n.root[1] AS to_r, n.root[2] AS to_c FROM roots w JOIN named n ON n.r = w.to_r AND n.c = w.to_c""")
+def plateau_roots(spark, sf_dir):
+    low = view(spark, sf_dir, "canopy").where("r < 40 and c < 40").withColumn("h", F.floor(F.col("h") / 12))
+    return rasters.plateaus(rasters.climb(low, durable(spark)), durable(spark))

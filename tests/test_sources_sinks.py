@@ -158,3 +158,61 @@ def test_mosaic_years(spark):
     assert overlays.mosaic_years(tiles.union(spark.createDataFrame([("a", 1.0, [])], tiles.schema))).first().complete is False
     with pytest.raises(Exception, match="share a CRS"):
         overlays.mosaic_years(tiles.union(spark.createDataFrame([("b", 1.0, [])], tiles.schema))).collect()
+
+
+def las_file(path, points, kind=1, version=(1, 2)):
+    """A LAS file of (x, y, z, class, return) with a scale of 0.01."""
+    import struct
+
+    head, stride = bytearray(375), {1: 28, 6: 30}[kind]
+    head[:4], head[24], head[25], head[104] = b"LASF", *version, kind
+    struct.pack_into("<HII", head, 94, 375, 375, 0)
+    struct.pack_into("<HI", head, 105, stride, len(points) if version < (1, 4) else 0)
+    firsts = sum(p[4] == 1 for p in points)
+    struct.pack_into("<5I", head, 111, *((firsts if version < (1, 4) else 0), 0, 0, 0, 0))
+    struct.pack_into("<6d", head, 131, 0.01, 0.01, 0.01, 100.0, 200.0, 0.0)
+    xs, ys, zs = zip(*[p[:3] for p in points], strict=True)
+    struct.pack_into("<6d", head, 179, max(xs), min(xs), max(ys), min(ys), max(zs), min(zs))
+    struct.pack_into("<2Q", head, 247, len(points), firsts)
+    body = bytearray()
+    for x, y, z, c, n in points:
+        body += struct.pack("<3iH", round((x - 100) * 100), round((y - 200) * 100), round(z * 100), 7)
+        body += (bytes([n | 0x40, c | 0x60]) if kind < 6 else bytes([n | 0x20, 0, c])).ljust(stride - 14, b"\0")
+    path.write_bytes(bytes(head) + bytes(body))
+
+
+@pytest.mark.parametrize(("kind", "version"), [(1, (1, 2)), (6, (1, 4))])
+def test_las(spark, tmp_path, kind, version):
+    from sylva.sources import las
+
+    points = [(100 + i * 0.5, 200 + i % 7, i / 4, 2 if i % 3 else 5, 1 + i % 2) for i in range(1000)]
+    las_file(tmp_path / "a.las", points, kind, version)
+    uri = f"file://{tmp_path}/a.las"
+    got = las.read(spark, [uri, uri], block=300).collect()
+    assert sorted((round(r.x, 2), round(r.y, 2), round(r.z, 2), r.classification, r.return_number) for r in got) == sorted([(round(x, 2), y, z, c, n) for x, y, z, c, n in points] * 2)
+    h = las.header(uri)
+    assert (h.points, h.first_returns) == (1000, 500) and las.density([h]) == pytest.approx(500 / (499.5 * 6))
+    (tmp_path / "b.las").write_bytes(b"no")
+    with pytest.raises(ValueError, match="no LAS"):
+        las.header(f"file://{tmp_path}/b.las")
+    assert las.read(spark, []).isEmpty()
+
+
+def test_ground(spark):
+    import numpy as np
+
+    from sylva.operators import terrain
+
+    rng = np.random.default_rng(2)
+    at = np.indices((60, 50)).astype(float)
+    plane = 100 + 0.3 * at[0] - 0.2 * at[1]
+    known = rng.random(plane.shape) < 0.4
+    known[[0, -1], :] = known[:, [0, -1]] = True
+    assert np.allclose(terrain.filled(np.where(known, plane, np.nan)), plane)
+    assert np.isnan(terrain.filled(np.full((3, 3), np.nan))).all()
+    cells = spark.createDataFrame([(int(r), int(c), float(plane[r, c])) for r, c in zip(*np.nonzero(known), strict=True)], "r int, c int, z double")
+    wanted = spark.createDataFrame([(r, c) for r in range(60) for c in range(50)] + [(4000, 4000)], "r int, c int")
+    got = {(r.r, r.c): r.z for r in terrain.ground(cells, wanted, block=16, margin=60).collect()}
+    assert got.pop((4000, 4000)) is None and all(abs(z - plane[r, c]) < 1e-9 for (r, c), z in got.items()) and len(got) == 3000
+    points = spark.createDataFrame([(0.5, 0.5, 3.0, 2), (0.6, 0.1, 5.0, 2), (0.5, 0.5, 30.0, 5)], "x double, y double, z double, classification int")
+    assert [tuple(r) for r in terrain.ground_cells(points).collect()] == [(0, 0, 4.0)]
