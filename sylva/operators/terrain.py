@@ -53,7 +53,7 @@ def ground_cells(points: DataFrame, cell: float = 1.0) -> DataFrame:
 def ground(cells: DataFrame, wanted: DataFrame, block: int = BLOCK, margin: int = MARGIN) -> DataFrame:
     """r, c, z of the wanted places (r, c), from known cells (r, c, z). A block sees the known cells within margin around it; a place
     of a block that sees none has a null z."""
-    near = lambda x: F.array_distinct(F.transform(F.array(F.lit(-margin), F.lit(0), F.lit(margin)), lambda d: F.floor((F.col(x) + d) / block).cast("int")))
+    near = lambda x: F.sequence(F.floor((F.col(x) - margin) / block).cast("int"), F.floor((F.col(x) + margin) / block).cast("int"))
     seen = cells.withColumn("br", F.explode(near("r"))).withColumn("bc", F.explode(near("c"))).select("br", "bc", "r", "c", "z")
     asked = wanted.select("r", "c").distinct().withColumns({"br": F.floor(F.col("r") / block).cast("int"), "bc": F.floor(F.col("c") / block).cast("int")})
 
