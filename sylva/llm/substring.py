@@ -198,16 +198,20 @@ def digest(docs: DataFrame, window: int = 20) -> DataFrame:
 
 def deduplicated(docs: DataFrame, window: int) -> DataFrame:
     """docs with the repeats taken out of text; a text without repeats stays as it is, white space included."""
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in docs.columns):  # names of our own that no column has
+        mark += "_"
+    doc, key, starts_ = f"{mark}doc", f"{mark}key", f"{mark}starts"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
-            starts = batch.column(batch.schema.get_field_index("__starts")).to_pylist()
+            starts = batch.column(batch.schema.get_field_index(starts_)).to_pylist()
             new = [t if not s else b" ".join(kept(T.words_of(t), s, window)).decode("utf-8", "surrogatepass") for t, s in zip(texts, starts, strict=True)]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)).drop_columns(["__starts"])
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)).drop_columns([starts_])
 
-    repeats_ = marked(docs, window).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), F.col("starts").alias("__starts"))
-    own = docs.withColumns({"text": F.col("text").cast("string"), "__own_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__own_key": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    joined = own.join(repeats_, (F.col("__own_doc") == F.col("__doc")) & (F.col("__own_key") == F.col("__key")), "left").select(*docs.columns, "__starts")
+    repeats_ = marked(docs, window).select(F.col("doc_id").alias(f"{mark}d"), F.col("text_key").alias(f"{mark}k"), F.col("starts").alias(starts_))
+    own = docs.withColumns({"text": F.col("text").cast("string"), doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    joined = own.join(repeats_, (F.col(doc) == F.col(f"{mark}d")) & (F.col(key) == F.col(f"{mark}k")), "left").select(*docs.columns, starts_)
     return joined.mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
