@@ -192,6 +192,7 @@ def gradient(px: DataFrame, smooth: float = 0.0, tile: int = TILE) -> DataFrame:
         if smooth:
             from .crowns import blurred
 
+            ways = [np.where(np.isfinite(h), w, np.nan) for w in ways]
             ways = [blurred(np.nan_to_num(w), smooth) / np.maximum(blurred(np.isfinite(w).astype(float), smooth), 1e-9) for w in ways]
         return there, {"slope": np.where(np.isfinite(h), np.degrees(np.arctan(np.hypot(*ways))), np.nan)}
 

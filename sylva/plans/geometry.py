@@ -149,3 +149,10 @@ def temporal_policies(spark, sf_dir):
     own = buildings.attributes(view(spark, sf_dir, "footprints"))
     each = [F.struct(F.lit(n).alias("rule"), buildings.temporal(lo, hi, 2, t, p, k).alias("state")) for n, lo, hi, t, p, k in POLICIES]
     return own.select("fid", F.explode(F.array(*each)).alias("x")).select("fid", "x.rule", "x.state")
+
+
+@query(f"WITH {ATTRIBUTES}, {TOUCHED}, gone AS (SELECT DISTINCT r, c FROM canopy JOIN touched USING (r, c) JOIN b USING (fid) WHERE state = 'active' AND roof > 0 AND h <= roof + 2 AND h >= bottom) SELECT (SELECT count(*) FROM gone) AS excluded_pixels, (SELECT count(*) FROM canopy) AS grid_pixels, count(*) FILTER (state = 'active') AS active, count(*) FILTER (state = 'absent') AS absent, count(*) FILTER (state = 'unknown') AS unknown FROM b")
+def exclusion_report(spark, sf_dir):
+    px, own = view(spark, sf_dir, "canopy"), shaped(spark, sf_dir)
+    counts = own.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("active", "absent", "unknown")])
+    return polygons.excluded(px, own).agg(F.count("*").alias("excluded_pixels")).join(px.agg(F.count("*").alias("grid_pixels"))).join(counts)  # one row each

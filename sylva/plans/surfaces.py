@@ -312,3 +312,18 @@ SELECT DISTINCT w.r, w.c, n.root[1] AS to_r, n.root[2] AS to_c FROM roots w JOIN
 def plateau_roots(spark, sf_dir):
     low = view(spark, sf_dir, "canopy").where("r < 40 and c < 40").withColumn("h", F.floor(F.col("h") / 12))
     return rasters.plateaus(rasters.climb(low, durable(spark)), durable(spark))
+
+
+@query("SELECT greatest(10, 5*ceil(quantile_cont(h, 0.995)/5)) AS top FROM canopy")
+def stretch_top(spark, sf_dir):
+    return view(spark, sf_dir, "canopy").agg(F.greatest(F.lit(10.0), 5 * F.ceil(F.percentile("h", F.lit(0.995)) / 5).cast("double")).alias("top"))
+
+
+# The frame of one place around the raster is without data; beyond it the frame goes on.
+@query("""WITH s AS (SELECT r, c, h FROM canopy), n AS (SELECT a.r, a.c, max(b.h) FILTER (b.r = a.r - 1) AS u, max(b.h) FILTER (b.r = a.r + 1) AS d, max(b.h) FILTER (b.c = a.c - 1) AS l, max(b.h) FILTER (b.c = a.c + 1) AS g, any_value(a.h) AS h
+FROM s a LEFT JOIN (SELECT *, unnest([0, 1, 2, 3]) AS k FROM s) b ON b.r = a.r + CASE k WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END AND b.c = a.c + CASE k WHEN 2 THEN -1 WHEN 3 THEN 1 ELSE 0 END GROUP BY a.r, a.c),
+way AS (SELECT r, c, (coalesce(d, h) - coalesce(u, h))/greatest((d IS NOT NULL)::INT + (u IS NOT NULL)::INT, 1) AS y, (coalesce(g, h) - coalesce(l, h))/greatest((g IS NOT NULL)::INT + (l IS NOT NULL)::INT, 1) AS x FROM n),
+k AS (SELECT o, exp(-o*o/2e0) AS w FROM (SELECT unnest(range(-4, 5)) AS o)), told AS (SELECT r + i.o AS r, c + j.o AS c, i.w*j.w AS w, y, x FROM way CROSS JOIN k i CROSS JOIN k j)
+SELECT s.r, s.c, round(degrees(atan(sqrt(pow(sum(w*y)/sum(w), 2) + pow(sum(w*x)/sum(w), 2)))), 6) AS slope FROM s JOIN told USING (r, c) GROUP BY s.r, s.c""")
+def smoothed_slope(spark, sf_dir):
+    return rounded(rasters.gradient(view(spark, sf_dir, "canopy"), 1.0), "slope")
