@@ -17,7 +17,7 @@ into a score. D, E and span are those of PAIR_DISCOUNTS, WORD_DISCOUNTS and SPAN
 the labelled texts that may be learnt from; these fit the curve and take no part in the counts.
 
 Labels come from at most MAX_ROWS labelled documents (the first in the order of a hash of the id): that bounds the
-models and what is broadcast. Every text is scored whole. Every word and every bigram of the counted documents is in the
+models and what is broadcast. Every text is scored whole. Every word and every bigram of the counted documents counts in the
 models, however rare.
 
 Defined results: null and empty texts have no words and the feature 0; what holds no character but punctuation is no word; words
@@ -49,31 +49,36 @@ def word_list(text: str | None) -> list[str]:
     return [x for w in text.lower().split() if (x := w.strip(".,;:!?\"'()"))] if text else []
 
 
-def discounts(counts: np.ndarray, discount: float) -> np.ndarray:
-    """Of both classes (the columns): discount for the one with fewer counts, and what takes the same share of the other's."""
-    total = counts.sum(0)
+def discounts(counts: np.ndarray, discount: float, times: np.ndarray | None = None) -> np.ndarray:
+    """Of both classes (the columns): discount for the one with fewer counts, and what takes the same share of the other's.
+    times: how often each row of counts occurs."""
+    times = np.ones(len(counts), np.int64) if times is None else times
+    total = (counts * times[:, None]).sum(0)
     if not total.min():
         return np.array([discount, discount])
     few = int(total[1] < total[0])
     own, other = counts[:, few], counts[:, 1 - few]
-    share = np.minimum(own, discount).sum() / max(total[few], 1)
-    kinds, times = np.unique(other[other > 0], return_counts=True)
-    low, high = 0.0, float(kinds.max(initial=0))
+    share = (np.minimum(own, discount) * times).sum() / total[few]
+    kinds, back = np.unique(other, return_inverse=True)
+    often = np.bincount(back, times)
+    low, high = 0.0, float(kinds.max())
     for _ in range(60):
         middle = (low + high) / 2
-        low, high = (middle, high) if (np.minimum(kinds, middle) * times).sum() < share * total[1 - few] else (low, middle)
+        low, high = (middle, high) if (np.minimum(kinds, middle) * often).sum() < share * total[1 - few] else (low, middle)
     return np.array([high, discount] if few else [discount, high])
 
 
 class Model:
     """Counts and what follows from them, as arrays. Word 0 is unknown, 1 stands before the first word.
 
-    Only counts are sent to the workers, compressed: there are millions of bigrams, most of them of one document."""
+    Only counts are sent to the workers, compressed. Of the bigrams only those are held that the least discount leaves something of;
+    the others, most of them of one document, have no part of their own in any probability."""
 
-    def __init__(self, words: bytes, counts: np.ndarray, codes: np.ndarray, summed: np.ndarray):
+    def __init__(self, words: bytes, counts: np.ndarray, codes: np.ndarray, summed: np.ndarray, taken: dict[float, np.ndarray] | None = None):
         """words: a line each, their places are from 2; counts by place: continuation counts toxic and ordinary, counts as a
-        history toxic and ordinary; codes: history's place * size + word's place, ascending; summed: their counts toxic and ordinary."""
-        self.words, self.counts, self.codes, self.summed = words, counts, codes, summed
+        history toxic and ordinary; codes: history's place * size + word's place, ascending; summed: their counts toxic and ordinary;
+        taken: the discounts of all bigrams in both classes (by default those of the bigrams given)."""
+        self.words, self.counts, self.codes, self.summed, self.taken = words, counts, codes, summed, taken or {}
         self.size = len(counts)
         self.chosen, self.curve = (WORD_DISCOUNTS[0], PAIR_DISCOUNTS[0], SPANS[0]), (0.0, -50.0)
         self.index: dict[str, int] | None = None
@@ -82,12 +87,12 @@ class Model:
 
     def __getstate__(self) -> tuple:
         pack = lambda x, kind: zlib.compress(np.ascontiguousarray(x, kind), 1)
-        return zlib.compress(self.words, 1), pack(self.counts, "<i4"), pack(np.diff(self.codes, prepend=0), "<i8"), pack(self.summed, "<i4"), self.chosen, self.curve
+        return zlib.compress(self.words, 1), pack(self.counts, "<i4"), pack(np.diff(self.codes, prepend=0), "<i8"), pack(self.summed, "<i4"), self.taken, self.chosen, self.curve
 
     def __setstate__(self, state: tuple) -> None:
         words, counts, codes, summed = map(zlib.decompress, state[:4])
         self.__init__(words, np.frombuffer(counts, "<i4").reshape(-1, 4), np.cumsum(np.frombuffer(codes, "<i8")), np.frombuffer(summed, "<i4").reshape(-1, 2))
-        self.chosen, self.curve = state[4:]
+        self.taken, self.chosen, self.curve = state[4:]
 
     def words_given(self, discount: float) -> np.ndarray:
         """P_c(w) of all words in both classes."""
@@ -101,7 +106,7 @@ class Model:
 
     def pairs_given(self, discount: float) -> tuple[np.ndarray, np.ndarray]:
         """The pairs' own part, and each history's part that goes to the words, in both classes."""
-        history, taken = np.maximum(self.counts[:, 2:4], 1), discounts(self.summed, discount)
+        history, taken = np.maximum(self.counts[:, 2:4], 1), self.taken[discount] if discount in self.taken else discounts(self.summed, discount)
         kept, held = np.empty(self.summed.shape, np.float32), np.zeros((self.size, 2))
         for at in range(0, len(kept), 200_000):
             some, h = np.maximum(self.summed[at : at + 200_000] - taken, 0), self.codes[at : at + 200_000] // self.size
@@ -214,11 +219,16 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_
             codes = [place.get(h, 1) * (len(place) + 2) + place[w] for h, w in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in ((codes, pa.int64()), (t, pa.int32()), (o, pa.int32()))], ["code", "t", "o"])
 
-    known = pairs.where("b <> ''").mapInArrow(coded, "code long, t int, o int").toArrow()
+    # A row for each pair of counts that occurs: the discounts follow from these.
+    often = pairs.where("b <> ''").groupBy("t", "o").agg(F.count("*").alias("k")).toArrow()
+    kinds, times = np.stack([often.column(c).to_numpy() for c in ("t", "o")], 1), often.column("k").to_numpy()
+    taken = {d: discounts(kinds, d, times) for d in PAIR_DISCOUNTS} if len(kinds) else {}
+    least = taken[min(PAIR_DISCOUNTS)].tolist() if taken else [0.0, 0.0]
+    known = pairs.where("b <> ''").where((F.col("t") > least[0]) | (F.col("o") > least[1])).mapInArrow(coded, "code long, t int, o int").toArrow()
     codes, summed = known.column("code").to_numpy(), np.stack([known.column(c).to_numpy() for c in ("t", "o")], 1)
     del known
     order = np.argsort(codes)
-    model = Model("\n".join(listed.to_pylist()).encode(), counts, codes[order], summed[order])
+    model = Model("\n".join(listed.to_pylist()).encode(), counts, codes[order], summed[order], taken)
     del codes, summed, order, listed
     pa.default_memory_pool().release_unused()
     placed.destroy()
