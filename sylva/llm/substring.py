@@ -31,6 +31,8 @@ from . import text as T
 #: Text bytes whose suffixes make a group.
 GROUP_BYTES = 27 << 20
 NO_ID = -(1 << 63)
+#: So many keys of documents are sent to all workers (32 MB).
+MOST_SENT = 2_000_000
 #: Sets the words' hashes of the second fingerprint apart from those of the first.
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 BLOCK = "grp int, docs binary, bounds binary, keys binary, places binary, doc_id long, text_key long, starts binary"
@@ -175,9 +177,21 @@ def kept(words: list[bytes], starts: list[bytes] | None, window: int) -> list[by
 
 def marked(docs: DataFrame, window: int) -> DataFrame:
     """doc_id, text_key, starts: a row per document that has repeats, all its blocks in a list."""
-    found = T.durable(repeats(keyed(docs), window))
+    found = T.durable(repeats(keyed(docs), window).groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("starts")))
     T.release(docs.sparkSession)  # the suffixes' shuffle is not needed any more
-    return found.groupBy("doc_id", "text_key").agg(F.collect_list("starts").alias("starts"))
+    return found
+
+
+def joined(rows: DataFrame, found: DataFrame, doc: str, key: str, starts: str) -> DataFrame:
+    """rows with their starts, null where a document has none. If the documents with repeats are at most MOST_SENT, their keys are
+    sent to all workers, and only their rows travel to the starts; else all rows do."""
+    told = found.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("starts").alias(starts))
+    names = [*rows.columns, starts]
+    if found.count() > MOST_SENT:
+        return rows.join(told, [doc, key], "left").select(*names)
+    keys = F.broadcast(told.select(doc, key))
+    free = rows.join(keys, [doc, key], "left_anti").withColumn(starts, F.lit(None).cast("array<binary>"))
+    return free.select(*names).union(rows.join(keys, [doc, key], "left_semi").join(told, [doc, key], "left").select(*names))
 
 
 def digest(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -193,7 +207,7 @@ def digest(docs: DataFrame, window: int = 20) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return keyed(docs).join(marked(docs, window), ["doc_id", "text_key"], "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return joined(keyed(docs), marked(docs, window), "doc_id", "text_key", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, window: int) -> DataFrame:
@@ -211,7 +225,5 @@ def deduplicated(docs: DataFrame, window: int) -> DataFrame:
             new = [t if not s else b" ".join(kept(T.words_of(t), s, window)).decode("utf-8", "surrogatepass") for t, s in zip(texts, starts, strict=True)]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)).drop_columns([starts_])
 
-    repeats_ = marked(docs, window).select(F.col("doc_id").alias(f"{mark}d"), F.col("text_key").alias(f"{mark}k"), F.col("starts").alias(starts_))
     own = docs.withColumns({"text": F.col("text").cast("string"), doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), key: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    joined = own.join(repeats_, (F.col(doc) == F.col(f"{mark}d")) & (F.col(key) == F.col(f"{mark}k")), "left").select(*docs.columns, starts_)
-    return joined.mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
+    return joined(own, marked(docs, window), doc, key, starts_).drop(doc, key).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)

@@ -36,7 +36,11 @@ def test_near_duplicates(plain, clashing):
     same(neardup.groups(plain, 4), neardup.groups(clashing, 4))
 
 
-def test_substring(plain, clashing):
+def test_substring(plain, clashing, monkeypatch):
+    few = substring.digest(plain, 10).collect()
+    monkeypatch.setattr(substring, "MOST_SENT", 0)
+    assert Counter(few) == Counter(substring.digest(plain, 10).collect())
+    monkeypatch.undo()
     same(substring.digest(plain, 10), substring.digest(clashing, 10))
     kept = substring.deduplicated(clashing.withColumns({"__own_doc": F.lit(1), "__own_key": F.lit(2)}), 10)
     assert kept.columns == [*clashing.columns, "__own_doc", "__own_key"] and kept.count() == plain.count()
