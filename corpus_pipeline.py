@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.llm import decontam, neardup, packing, substring, tokens, toxicity
-from sylva.llm.text import durable, fold, table
+from sylva.llm.text import durable, fold, release, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words of a repeated passage that the substring stage removes.
@@ -37,9 +37,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one row of each group, that of the smallest doc_id (null last): five-word shingles, similarity 0.8 or more."""
     own = keyed(docs)
     named = durable(neardup.groups(own.select(F.col("row").alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("row"), "n_shingles", "component_id"))
+    release(spark)
     first = named.where("n_shingles > 0").join(own.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     kept = first.select("first.row").union(named.where("n_shingles = 0").select("row"))
-    return own.join(durable(kept), "row", "left_semi").select(*COLUMNS)
+    kept = durable(kept)
+    release(spark)
+    return own.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffles and checkpoints that nothing refers to any more."""
+    """Lets Spark remove the shuffles and checkpoints that nothing refers to any more, and the driver give back memory."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
