@@ -31,8 +31,8 @@ from . import text as T
 #: Text bytes whose suffixes make a group.
 GROUP_BYTES = 27 << 20
 NO_ID = -(1 << 63)
-#: So many keys of documents are sent to all workers (32 MB).
-MOST_SENT = 2_000_000
+#: Words that a task gathers before it hands their suffixes on; keys of documents that are sent to all workers (32 MB).
+FLUSH_WORDS, MOST_SENT = 600_000, 2_000_000
 #: Sets the words' hashes of the second fingerprint apart from those of the first.
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 BLOCK = "grp int, docs binary, bounds binary, keys binary, places binary, doc_id long, text_key long, starts binary"
@@ -87,7 +87,7 @@ def blocks(docs: DataFrame, window: int, groups: int) -> DataFrame:
                     ids.append((doc, key))
                     parts.append(h)
                     size += len(h)
-                if size >= T.FLUSH_WORDS:
+                if size >= FLUSH_WORDS:
                     yield from handed(ids, parts)
                     ids, parts, size = [], [], 0
         if ids:
