@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +43,9 @@ BLOCK = 2048
 FIRST, WIDER = 2, 8
 #: Bits of a parity sketch: the least power of two from twice the set's size on, within these bounds.
 LEAST_BITS, MOST_BITS = 64, 1 << 15
-#: So many wanted ids are sent to all workers (16 MB); more are met in a shuffle of the texts.
-MOST_SENT = 2_000_000
+#: So many wanted classes are broadcast as rows; of more, a Bloom filter of their ids is (4 bytes an id at most), and the sets of
+#: the texts that pass it meet the classes' keys in a shuffle. Joined, a broadcast class takes the driver some 200 bytes.
+MOST_SENT = 100_000
 SEEDS = (T.mixed(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(np.uint32)
 FACTORS = T.mixed(np.arange(101, SYMBOLS + 101, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
@@ -262,11 +264,51 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["n_shingles", "set_hi", "set_lo", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    ids = wanted.select("rep").distinct()
-    few = wanted.count() <= MOST_SENT
-    made = texts.join(F.broadcast(ids) if few else ids, "rep", "left_semi").select("text").mapInArrow(run, "n_shingles long, set_hi long, set_lo long, shingles binary")
-    keys = wanted.select("cls", "n_shingles", "set_hi", "set_lo")
-    return made.join(F.broadcast(keys) if few else keys, ["n_shingles", "set_hi", "set_lo"]).select("cls", "shingles").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    n, keys = wanted.count(), wanted.select("cls", "n_shingles", "set_hi", "set_lo")
+    schema = "n_shingles long, set_hi long, set_lo long, shingles binary"
+    if n <= MOST_SENT:
+        made = texts.join(F.broadcast(wanted.select("rep").distinct()), "rep", "left_semi").select("text").mapInArrow(run, schema)
+        return made.join(F.broadcast(keys), ["n_shingles", "set_hi", "set_lo"]).select("cls", "shingles").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, n))
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bits.value
+        for batch in batches:
+            ids = batch.column(0)
+            may = np.ones(len(ids), bool)
+            for at in id_places(ids.fill_null(0).to_numpy(zero_copy_only=False), 8 * len(held)):
+                may &= (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            yield from run([batch.filter(pa.array(may & ids.is_valid().to_numpy(zero_copy_only=False)))])
+
+    T.bounded_batches(docs.sparkSession)
+    made = texts.mapInArrow(passed, schema).groupBy("n_shingles", "set_hi", "set_lo").agg(F.first("shingles").alias("shingles"))
+    return made.join(keys, ["n_shingles", "set_hi", "set_lo"]).select("cls", "shingles")
+
+
+def id_places(ids: np.ndarray, size: int) -> list[np.ndarray]:
+    """The two bits of each id in a filter of size bits, a power of two."""
+    h = T.mixed(ids.astype(np.int64).view(np.uint64))
+    return [(x & np.uint64(size - 1)).astype(np.int64) for x in (h, h >> np.uint64(32))]
+
+
+def id_filter(wanted: DataFrame, n: int) -> np.ndarray:
+    """Bits of the wanted ids (rep), 16 to 32 of them an id: one other id in a hundred passes at most. Executors fill the parts."""
+    size = 1 << max(15, min(32, (16 * n - 1).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(id_places(batch.column(0).to_numpy(zero_copy_only=False), size))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 15).astype(np.int32)), pa.array((at & 0x7FFF).astype(np.int32))], ["part", "at"])
+
+    def filled(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << 15, np.uint8)
+        bits[pdf["at"].to_numpy()] = 1
+        return pd.DataFrame([(key[0], np.packbits(bits, bitorder="little").tobytes())], columns=["part", "bits"])
+
+    out = np.zeros(size // 8, np.uint8).reshape(-1, 1 << 12)
+    for row in wanted.select("rep").mapInArrow(places, "part int, at int").groupBy("part").applyInPandas(filled, "part int, bits binary").collect():
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
 
 
 def with_roots(rows: DataFrame, columns: list[str], root: DataFrame | None, few: bool) -> DataFrame:
@@ -280,6 +322,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
     found = entry_rows(classes)
     shared = found.groupBy("entry").agg(F.count("*").alias("n")).where("n > 1").select("entry", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     member = T.durable(found.join(shared, "entry").select("entry", "cls", "blocks"))
+    T.release(docs.sparkSession)
     root = tested = sets = None
     few, most = True, FIRST
 
@@ -331,6 +374,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
     # Numbers that stay as they are from here on: the table is written.
     classes = T.durable(classes.withColumn("cls", F.monotonically_increasing_id()))
+    T.release(docs.sparkSession)
     root = links(docs, classes, k, percent)
     T.release(docs.sparkSession)
     named = classes.select(*key, "rep", F.col("rep").alias("component_id"))
