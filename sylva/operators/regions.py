@@ -4,26 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIDES = [(0, 1), (1, 0)]
 CORNERS = [(0, 1), (1, -1), (1, 0), (1, 1)]
+#: Side of a tile in pixels.
+TILE = 512
 
 
-def components(px: DataFrame, durable: Callable[[DataFrame], DataFrame], corners: bool = False, same: str | None = None) -> DataFrame:
+def local_roots(r: np.ndarray, c: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
+    """Of each pixel, in row-major order, the place of the first that it hangs together with."""
+    width = int(c.max() - c.min()) + 3
+    key = (r - r.min()) * width + c - c.min() + 1
+    ends = []
+    for a, b in offsets:
+        wanted = key + a * width + b
+        at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        here = np.flatnonzero(key[at] == wanted)
+        ends.append((here, at[here]))
+    x, y = (np.concatenate(e) for e in zip(*ends, strict=True))
+    root = np.arange(len(key))
+    while True:
+        new, low = root.copy(), np.minimum(root[x], root[y])
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def components(px: DataFrame, durable: Callable[[DataFrame], DataFrame], corners: bool = False, same: str | None = None, tile: int = TILE) -> DataFrame:
     """r, c, root (struct of the region's first pixel in row-major order) of pixels that hang together by sides, or by corners too;
-    `same`: only pixels alike in that column do. Each pass takes the least root of a pixel's neighbours, then the root's own
-    root, so that roots travel in doubling steps."""
-    at = F.struct("r", "c")
+    `same`: only pixels alike in that column do. Each tile finds its own regions; those that meet across a tile's edge are joined
+    over the table: a pass takes the least root of a region's neighbours, then the root's own root, so that roots travel in doubling
+    steps, and its length grows with the tiles, not with the pixels."""
     offsets = CORNERS if corners else SIDES
     keep = [same] if same else []
-    asked = px.select("r", "c", *keep, F.explode(F.array(*[F.struct((F.col("r") + a).alias("nr"), (F.col("c") + b).alias("nc")) for a, b in offsets])).alias("s")).select("r", "c", *keep, "s.*")
-    beside = asked.join(px.select(F.col("r").alias("nr"), F.col("c").alias("nc"), *[F.col(same).alias("_other")] if same else []), ["nr", "nc"])
+    kinds = dict(px.dtypes)
+    place = lambda x: F.floor(F.col(x) / tile).cast("int")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["r", "c"], ignore_index=True).drop_duplicates(["r", "c"], ignore_index=True)
+        r, c = pdf["r"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64)
+        root = local_roots(r, c, offsets)
+        return pd.DataFrame({"r": r, "c": c, "root_r": r[root], "root_c": c[root], **{k: pdf[k] for k in keep}})
+
+    dealt = px.select("r", "c", *keep).where("r is not null and c is not null").withColumns({"tile_r": place("r"), "tile_c": place("c")})
+    schema = ", ".join(f"`{n}` {t}" for n, t in [("r", kinds["r"]), ("c", kinds["c"]), ("root_r", kinds["r"]), ("root_c", kinds["c"]), *[(k, kinds[k]) for k in keep]])
+    local = dealt.groupBy("tile_r", "tile_c", *keep).applyInPandas(run, schema)
+    local = durable(local.select("r", "c", *keep, F.struct(F.col("root_r").alias("r"), F.col("root_c").alias("c")).alias("own")))
+    asked = local.select("r", "c", "own", *keep, F.explode(F.array(*[F.struct((F.col("r") + a).alias("nr"), (F.col("c") + b).alias("nc")) for a, b in offsets])).alias("s")).select("r", "c", "own", *keep, "s.*")
+    asked = asked.where((place("nr") != place("r")) | (place("nc") != place("c"))).drop("r", "c")  # across a tile's edge
+    beside = asked.join(local.select(F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("own").alias("to"), *[F.col(same).alias("_other")] if same else []), ["nr", "nc"])
     links = beside.where(F.col(same).eqNullSafe(F.col("_other"))) if same else beside
-    links = links.select(F.struct("r", "c").alias("a"), F.struct(F.col("nr").alias("r"), F.col("nc").alias("c")).alias("b"))
+    links = links.select(F.col("own").alias("a"), F.col("to").alias("b")).distinct()
     links = durable(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    named = durable(px.select(at.alias("p"), at.alias("root")))
+    if links.isEmpty():
+        return local.select("r", "c", F.col("own").alias("root"))
+    named = durable(links.select(F.col("a").alias("p")).distinct().withColumn("root", F.col("p")))
     while True:
         least = links.join(named.select(F.col("p").alias("b"), F.col("root").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
         new = named.join(least, named["p"] == least["a"], "left").select("p", F.col("root").alias("old"), F.least("root", "near").alias("root"))
@@ -31,8 +74,10 @@ def components(px: DataFrame, durable: Callable[[DataFrame], DataFrame], corners
         jumped = new.join(far, new["root"] == far["q"], "left").select("p", "old", F.least("root", "far").alias("root"))
         named = durable(jumped.select("p", "root", (F.col("old") != F.least("root", "old")).alias("moved")))
         if named.where("moved").isEmpty():
-            return named.select("p.r", "p.c", "root")
+            break
         named = named.drop("moved")
+    met = local.join(named.select(F.col("p").alias("own"), F.col("root").alias("_far")), "own", "left")
+    return met.select("r", "c", F.coalesce("_far", "own").alias("root"))
 
 
 def gaps(label: DataFrame, canopy: DataFrame, durable: Callable[[DataFrame], DataFrame]) -> DataFrame:
